@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bpe, fingerprint, lm, packing, secrets, sortdedup, toxicity, urls
+from terrace.llm import bpe, fingerprint, lm, ngramjoin, packing, secrets, sortdedup, suffixdedup, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.near_groups(_table(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,10 @@ def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sortdedup.content_sort_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(_table(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end_id=1, with_ids=False)
 
@@ -55,10 +63,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_ngram_join": op2_ngram_join,
     "op3_fingerprint": op3_fingerprint,
     "op4_url_rules": op4_url_rules,
     "op5_toxicity": op5_toxicity,
     "op6_content_sort": op6_content_sort,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_secrets": op10_secrets,

@@ -41,8 +41,13 @@ def root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/scratch-{sc.applicationId}"
 
 
+#: Folders that this process has asked for and not dropped.
+made: list[str] = []
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    made.append(f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return made[-1]
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -62,8 +67,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes this session's intermediate tables. Call it when results that read them are written."""
-    jvm, path = spark.sparkContext._jvm, root(spark)
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes intermediate tables. Only for tables whose readers have all been written."""
+    jvm = spark.sparkContext._jvm
+    for path in list(paths):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if path in made:
+            made.remove(path)

@@ -79,3 +79,22 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = runs.join(F.broadcast(whole), F.col("edge") & (F.col("text_sha256") == F.col("_sha")), "left")
     keep, size = F.when(F.col("_sha").isNotNull(), F.col("_keep")).otherwise(F.col("keep_id")), F.coalesce("_size", "group_size")
     return out.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), (F.col("head") & F.col("keep_id").eqNullSafe(keep)).alias("kept"), "text_sha256")
+
+
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, that ``content_sort_dedup`` keeps.
+
+    Ids may repeat or be null: a row is told by id and digest together, and of
+    rows that share both, one stays.
+    """
+    kept = content_sort_dedup(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
+
+    @F.pandas_udf("string")
+    def digest(texts):
+        import pandas as pd
+
+        return pd.Series([hashlib.sha256((t or "").encode("utf-8", "surrogatepass").lower()).hexdigest() for t in texts], dtype=object)
+
+    rows = df.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_sha": digest(F.col(text_col).cast("string"))})
+    same = F.col("_row_id").eqNullSafe(F.col("_keep_id")) & (F.col("_row_sha") == F.col("_keep_sha"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_row_id", "_row_sha"]).drop("_row_id", "_row_sha")
