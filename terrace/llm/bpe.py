@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from terrace.llm import arrow, scratch
 
 #: The pattern of byte-level BPE vocabularies of this kind (fixed value).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries that a worker remembers of chunks, words and fragments each.
-MEMORY = 300_000
+#: Entries that a worker remembers of chunks, words and fragments each, in each of two generations.
+MEMORY = 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -39,24 +40,32 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class _Memo(dict):
-    """Computes what it does not hold; forgets all when full."""
+    """Computes what it does not hold; when full, it keeps what has been asked for since the last time."""
 
     def __init__(self, make, size: int = MEMORY):
         super().__init__()
-        self.make, self.size = make, size
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.size:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
 
 
 class ByteBPE:
-    """A byte-level BPE vocabulary read from a tokenizers JSON file."""
+    """A byte-level BPE vocabulary read from a tokenizers JSON file.
 
-    def __init__(self, path: str):
+    With ``library``, unseen chunks are merged by a compiled library with the
+    same pattern and merges. It takes ids for ranks, so this needs a
+    vocabulary whose ids follow its merges; for others nothing changes.
+    """
+
+    def __init__(self, path: str, library: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -82,6 +91,13 @@ class ByteBPE:
         self._fragments = _Memo(lambda b: np.array(self.merge(b), "<u4").tobytes())
         self._words = _Memo(self._encode_word)
         self._spaced = _Memo(lambda chunk: self._encode_chunk(" " + chunk))
+        merged = [new for _, new in self.rank.values()]
+        if library and merged == sorted(merged):
+            import tiktoken
+
+            ids = tiktoken.Encoding("merges", pat_str=WORD, mergeable_ranks=vocab, special_tokens={})
+            self._encode_chunk = lambda chunk: array("I", ids.encode_ordinary(chunk)).tobytes()
+            self._spaced.size = 2 * MEMORY  # words and fragments need no room
 
     def cuts(self, word: bytes) -> list[bytes]:
         """The fragments of ``word`` between its certain cuts."""
@@ -180,14 +196,14 @@ class ByteBPE:
         return self.decode_bytes(np.array(ids, "<u4").tobytes()).decode("utf-8")
 
 
-_LOADED: dict[str, ByteBPE] = {}
+_LOADED: dict[tuple[str, bool], ByteBPE] = {}
 
 
-def vocabulary(path: str) -> ByteBPE:
+def vocabulary(path: str, library: bool = False) -> ByteBPE:
     """One vocabulary for each worker process and path."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBPE(path)
-    return _LOADED[path]
+    if (path, library) not in _LOADED:
+        _LOADED[path, library] = ByteBPE(path, library)
+    return _LOADED[path, library]
 
 
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:

@@ -22,7 +22,7 @@ def _tokens(path: str, end_id: int):
         from pyspark import TaskContext
 
         part, local = TaskContext.get().partitionId(), 0
-        vocab, end = bpe.vocabulary(path), np.array([end_id], "<u4").tobytes()
+        vocab, end = bpe.vocabulary(path, library=True), np.array([end_id], "<u4").tobytes()
         for b in batches:
             ids = [vocab.encode_bytes(t) + end for t in arrow.strings(b.column(1))]
             n = np.array([len(x) // 4 for x in ids], np.int64)

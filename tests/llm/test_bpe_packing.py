@@ -22,8 +22,9 @@ def _texts():
     return ODD + ["".join(rng.choice(pool) for _ in range(rng.randint(1, 200))) for _ in range(400)]
 
 
-def test_ids_and_decoding_match_the_library(reference):
-    own = bpe.ByteBPE(queries.tokenizer_path())
+@pytest.mark.parametrize("library", [False, True])
+def test_ids_and_decoding_match_the_library(reference, library):
+    own = bpe.ByteBPE(queries.tokenizer_path(), library)
     for t in _texts():
         ids = reference.encode(t, add_special_tokens=False).ids
         assert own.encode(t) == ids, t
@@ -80,3 +81,10 @@ def test_packing_is_gapless(spark, reference, parts):
     whole = packing.sequences(packing.pack(df, queries.tokenizer_path(), size=64)).collect()
     assert sum(len(r.ids) for r in whole) == total
     assert packing.pack(df.limit(0), queries.tokenizer_path()).count() == 0
+
+
+def test_memo_keeps_what_is_in_use():
+    made = []
+    memo = bpe._Memo(lambda k: made.append(k) or k, size=2)
+    assert [memo[k] for k in "abacada"] == list("abacada")
+    assert made == list("abcd")
