@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from terrace.llm import arrow, scratch
 LENGTH, Q = 50, 20
 WINDOW = LENGTH - Q + 1
 #: Bytes hashed at once, and blocks or windows that a task holds before it sends them on.
-CHUNK, FLUSH = 1 << 19, 1_000_000
+CHUNK, FLUSH = 1 << 18, 400_000
 _U = np.uint64
 _LOWEST = -(1 << 63)
 
@@ -256,10 +257,15 @@ def _block_task(buckets: int):
 
 
 def _gather(table: pa.Table) -> tuple[list[np.ndarray], pa.Table]:
-    rows = table.filter(pa.compute.equal(table.column("kind"), "rows"))
-    cuts = table.filter(pa.compute.equal(table.column("kind"), "cut")).select(["kind", "id", "mark", "ranges"])
-    parts = [_unpack(blob, n, _KINDS) for n, blob in zip(rows.column("n").to_pylist(), rows.column("blob").to_pylist())]
-    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, k) for k in _KINDS], cuts
+    rows = table.filter(pc.equal(table.column("kind"), "rows"))
+    cuts = table.filter(pc.equal(table.column("kind"), "cut")).select(["kind", "id", "mark", "ranges"])
+    sizes = rows.column("n").to_pylist()
+    out, at = [np.empty(sum(sizes), k) for k in _KINDS], 0
+    for n, blob in zip(sizes, rows.column("blob")):
+        for column, part in zip(out, _unpack(blob.as_py(), n, _KINDS)):
+            column[at : at + n] = part
+        at += n
+    return out, cuts
 
 
 def _refine_blocks(table: pa.Table) -> pa.Table:
@@ -326,7 +332,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = df.sparkSession
     scratch.prepare(spark)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a group of rows is held in memory
     raw = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(_LOWEST)).alias("id")
     # Rows of one id differ by their texts' hashes; where ids are unique, a constant does.
