@@ -24,7 +24,7 @@ from terrace.llm import arrow, scratch
 from terrace.llm.bpe import _Memo
 
 #: Training tokens that a task holds before it sends their n-grams on.
-FLUSH = 1_500_000
+FLUSH = 800_000
 _U = np.uint64
 BEGIN, END = _U(xxhash.xxh64_intdigest(b" begin")), _U(xxhash.xxh64_intdigest(b" end"))
 
@@ -226,12 +226,12 @@ def train(df: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str =
     """Counts the n-grams of all texts but those held out. Null texts are one end token.
 
     Each task first merges its own n-grams, so a frequent one leaves it once
-    for every FLUSH tokens; contexts are dealt over as many buckets as there
-    are shuffle partitions.
+    for every FLUSH tokens; contexts are dealt over twice as many buckets
+    as there are shuffle partitions.
     """
     spark = df.sparkSession
     scratch.prepare(spark)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a bucket is held in memory
     folder = local_path(scratch.folder(spark, "kneser-ney"))
     os.makedirs(folder, exist_ok=True)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
