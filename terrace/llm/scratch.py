@@ -62,9 +62,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Asks the driver to let go of shuffle files that no plan needs any more."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round finds is freed behind the scenes
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:

@@ -163,11 +163,11 @@ def window_buckets(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-# What tasks send: rows of numbers by bucket, packed, and settled ranges of documents.
-_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("n", pa.int64()), ("blob", pa.binary()), ("id", pa.int64()), ("mark", pa.int64()), ("ranges", pa.list_(pa.int64()))])
-_SENT_DDL = "bucket int, kind string, n long, blob binary, id long, mark long, ranges array<long>"
-_RANGES = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("mark", pa.int64()), ("ranges", pa.list_(pa.int64()))])
-_RANGES_DDL = "kind string, id long, mark long, ranges array<long>"
+# What tasks send: numbers of rows by bucket, and settled or asked-for ranges by groups of documents, packed.
+_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("n", pa.int64()), ("blob", pa.binary())])
+_SENT_DDL = "bucket int, kind string, n long, blob binary"
+_WHOLE = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("ranges", pa.list_(pa.int64()))])
+_WHOLE_DDL = "id long, mark long, ranges array<long>"
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -192,19 +192,38 @@ def _code(lo: np.ndarray, count: np.ndarray) -> np.ndarray:
     return lo.astype(np.int64) * 64 + count
 
 
-def _by_document(ids: np.ndarray, marks: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+_RANGE_KINDS = [np.int64, np.int64, np.int64]
+
+
+def _split(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's rows end, of rows in order of their buckets."""
+    return np.searchsorted(bucket, np.arange(buckets + 1))
+
+
+def _ranges(kind: str, ids: np.ndarray, marks: np.ndarray, codes: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Ranges by groups of documents, so that their rows are few however many buckets they come from."""
+    if not len(ids):
+        return
+    group = (_join(ids.view(_U), marks.view(_U)) >> _U(32)) * _U(buckets) >> _U(32)
+    order = np.lexsort((codes, ids, group))
+    ends = _split(group[order].astype(np.int64), buckets)
+    columns = [x[order] for x in (ids, marks, codes)]
+    for b in np.flatnonzero(np.diff(ends)).tolist():
+        lo, hi = int(ends[b]), int(ends[b + 1])
+        yield arrow.batch(_SENT, [b], [kind], [hi - lo], [_pack([x[lo:hi] for x in columns])])
+
+
+def _whole(table: pa.Table) -> pa.Table:
+    """One group's ranges by document."""
+    parts = [_unpack(blob.as_py(), n, _RANGE_KINDS) for n, blob in zip(table.column("n").to_pylist(), table.column("blob"))]
+    ids, marks, codes = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((codes, marks, ids))
     ids, marks, codes = ids[order], marks[order], codes[order]
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
     at = np.flatnonzero(new)
-    return ids[at], marks[at], pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(codes, pa.int64()))
-
-
-def _ranges(kind: str, ids: np.ndarray, marks: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if len(ids):
-        a, b, c = _by_document(ids, marks, codes)
-        yield arrow.batch(_RANGES, pa.repeat(kind, len(a)), a, b, c)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(codes, pa.int64()))
+    return pa.Table.from_batches([arrow.batch(_WHOLE, ids[at], marks[at], lists)])
 
 
 def _settle(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -218,22 +237,16 @@ def _settle(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _send(columns: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Settles within the task; sends settled ranges as they are, and other rows packed by bucket."""
+    """Settles within the task; packs settled ranges and all other rows."""
     if not len(columns[0]):
         return
     columns, settled = _settle(columns)
-    if settled.any():
-        ids, marks, ranges = _by_document(columns[2][settled], columns[3][settled], _code(columns[4][settled], columns[5][settled]))
-        n = len(ids)
-        spread = (np.arange(n) % buckets).astype(np.int32)
-        yield arrow.batch(_SENT, spread, pa.repeat("cut", n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), ids, marks, ranges)
+    yield from _ranges("cut", columns[2][settled], columns[3][settled], _code(columns[4][settled], columns[5][settled]), buckets)
     columns = [c[~settled] for c in columns]
-    ends = np.searchsorted((columns[0] >> _U(32)) * _U(buckets) >> _U(32), np.arange(buckets + 1, dtype=_U))
-    for b in range(buckets):
+    ends = _split(((columns[0] >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64), buckets)
+    for b in np.flatnonzero(np.diff(ends)).tolist():
         lo, hi = int(ends[b]), int(ends[b + 1])
-        if hi > lo:
-            blob = _pack([c[lo:hi].astype(k) for c, k in zip(columns, _KINDS)])
-            yield arrow.batch(_SENT, [b], ["rows"], [hi - lo], [blob], [None], [None], [None])
+        yield arrow.batch(_SENT, [b], ["rows"], [hi - lo], [_pack([c[lo:hi].astype(k) for c, k in zip(columns, _KINDS)])])
 
 
 def _block_task(buckets: int):
@@ -258,40 +271,35 @@ def _block_task(buckets: int):
 
 def _gather(table: pa.Table) -> tuple[list[np.ndarray], pa.Table]:
     rows = table.filter(pc.equal(table.column("kind"), "rows"))
-    cuts = table.filter(pc.equal(table.column("kind"), "cut")).select(["kind", "id", "mark", "ranges"])
     sizes = rows.column("n").to_pylist()
     out, at = [np.empty(sum(sizes), k) for k in _KINDS], 0
     for n, blob in zip(sizes, rows.column("blob")):
         for column, part in zip(out, _unpack(blob.as_py(), n, _KINDS)):
             column[at : at + n] = part
         at += n
-    return out, cuts
-
-
-def _refine_blocks(table: pa.Table) -> pa.Table:
-    """One bucket range: settles equal blocks, and asks for the windows of buckets that hold several blocks and documents."""
-    columns, cuts = _gather(table)
-    out = [cuts.cast(_RANGES)]
-    if len(columns[0]):
-        columns, settled = _settle(columns)
-        codes = _code(columns[4], columns[5])
-        out += [pa.Table.from_batches([b]) for b in _ranges("cut", columns[2][settled], columns[3][settled], codes[settled])]
-        gram, block, ids, marks = (c[~settled] for c in columns[:4])
-        codes = codes[~settled]
-        start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-        varied = (np.minimum.reduceat(ids, start) < np.maximum.reduceat(ids, start)) & (np.minimum.reduceat(block, start) < np.maximum.reduceat(block, start))
-        ask = np.repeat(varied, np.diff(np.append(start, len(gram))))
-        out += [pa.Table.from_batches([b]) for b in _ranges("ask", ids[ask], marks[ask], codes[ask])]
-    return pa.concat_tables(out)
-
-
-def _refine_windows(table: pa.Table) -> pa.Table:
-    columns, cuts = _gather(table)
-    out = [cuts.cast(_RANGES)]
-    if len(columns[0]):
-        columns, settled = _settle(columns)
-        out += [pa.Table.from_batches([b]) for b in _ranges("cut", columns[2][settled], columns[3][settled], _code(columns[4], columns[5])[settled])]
-    return pa.concat_tables(out)
+    return out, table.filter(pc.equal(table.column("kind"), "cut")).cast(_SENT)
+
+
+def _refine(buckets: int, ask: bool):
+    """One bucket range: settles equal blocks; with ``ask``, asks for the windows of buckets that hold several blocks and documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns, cuts = _gather(table)
+        out = []
+        if len(columns[0]):
+            columns, settled = _settle(columns)
+            codes = _code(columns[4], columns[5])
+            out += _ranges("cut", columns[2][settled], columns[3][settled], codes[settled], buckets)
+            if ask:
+                gram, block, ids, marks = (c[~settled] for c in columns[:4])
+                codes = codes[~settled]
+                start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+                varied = (np.minimum.reduceat(ids, start) < np.maximum.reduceat(ids, start)) & (np.minimum.reduceat(block, start) < np.maximum.reduceat(block, start))
+                asked = np.repeat(varied, np.diff(np.append(start, len(gram))))
+                out += _ranges("ask", ids[asked], marks[asked], codes[asked], buckets)
+        return pa.concat_tables([cuts, pa.Table.from_batches(out, _SENT)])
+
+    return run
 
 
 def _expand(codes: np.ndarray) -> np.ndarray:
@@ -340,11 +348,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = raw.select("doc_id", key, (F.xxhash64("text") if shared_ids else F.lit(0).cast("long")).alias("mark"), "text")
 
     blocks = docs.select("id", "mark", "text").mapInArrow(_block_task(buckets), _SENT_DDL)
-    first = scratch.table(blocks.groupBy("bucket").applyInArrow(_refine_blocks, _RANGES_DDL), "blocks")
-    whole = lambda marks: marks.groupBy("id", "mark").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    asked = docs.select("id", "mark", "text").join(whole(first.where("kind = 'ask'")), ["id", "mark"]).dropDuplicates(["id", "mark"]) if shared_ids else docs.select("id", "mark", "text").join(whole(first.where("kind = 'ask'")), ["id", "mark"])
+    first = scratch.table(blocks.groupBy("bucket").applyInArrow(_refine(buckets, True), _SENT_DDL), "blocks")
+    whole = lambda marks: marks.groupBy("bucket").applyInArrow(_whole, _WHOLE_DDL)
+    asked = docs.select("id", "mark", "text").join(whole(first.where("kind = 'ask'")), ["id", "mark"])
+    if shared_ids:
+        asked = asked.dropDuplicates(["id", "mark"])
     windows = asked.mapInArrow(_window_task(buckets), _SENT_DDL)
-    second = scratch.table(windows.groupBy("bucket").applyInArrow(_refine_windows, _RANGES_DDL), "windows")
+    second = scratch.table(windows.groupBy("bucket").applyInArrow(_refine(buckets, False), _SENT_DDL), "windows")
     cuts = whole(first.where("kind = 'cut'").unionByName(second))
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
