@@ -188,53 +188,58 @@ class PrefixTree:
 _POSTINGS = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())])
 
 
-def _post(buckets: int, flush: int = 1_500_000):
-    """(rep, prefix) rows to (key, rep) pairs by key, packed by bucket."""
+def _post(buckets: int, flush: int = 1_000_000):
+    """(rep, n, prefix) rows to (key, rep, n) by key, packed by bucket."""
     from terrace.llm.suffixdedup import _pack
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def send():
-            keys, reps = (np.concatenate(c) for c in zip(*held))
-            spread = (keys * _U(0x9E3779B97F4A7C15)) >> _U(32)
+            keys, reps, n = (np.concatenate(c) for c in zip(*held))
+            with np.errstate(over="ignore"):
+                spread = (keys * _U(0x9E3779B97F4A7C15)) >> _U(32)
             bucket = (spread * _U(buckets) >> _U(32)).astype(np.int64)
             order = np.lexsort((keys, bucket))
-            keys, reps, bucket = keys[order], reps[order], bucket[order]
+            keys, reps, n, bucket = keys[order], reps[order], n[order], bucket[order]
             ends = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in range(buckets):
                 lo, hi = int(ends[b]), int(ends[b + 1])
                 if hi > lo:
-                    yield arrow.batch(_POSTINGS, [b], [hi - lo], [_pack([keys[lo:hi], reps[lo:hi]])])
+                    yield arrow.batch(_POSTINGS, [b], [hi - lo], [_pack([keys[lo:hi], reps[lo:hi], n[lo:hi]])])
 
         for b in batches:
-            reps = b.column(0).to_numpy()
-            for rep, raw in zip(reps, b.column(1).to_pylist()):
+            for rep, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 keys = np.frombuffer(raw, _U)
-                held.append((keys, np.full(len(keys), rep)))
+                held.append((keys, np.full(len(keys), rep), np.full(len(keys), n)))
                 size += len(keys)
-            if size >= flush:
-                yield from send()
-                held, size = [], 0
+                if size >= flush:
+                    yield from send()
+                    held, size = [], 0
         if held:
             yield from send()
 
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Of each key that several documents hold: each with the smallest of them."""
+def _meet(percent: int):
+    """Of each key that several documents of like sizes hold: each with the smallest of them."""
     from terrace.llm.suffixdedup import _unpack
 
-    parts = [_unpack(blob, n, [_U, np.int64]) for n, blob in zip(table.column("n").to_pylist(), table.column("blob").to_pylist())]
-    keys, reps = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((reps, keys))
-    keys, reps = keys[order], reps[order]
-    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    n = np.diff(np.append(start, len(keys)))
-    shared = np.repeat(n > 1, n)
-    pairs = np.unique(np.stack([np.repeat(reps[start], n)[shared], reps[shared]], 1), axis=0)
-    return pa.table({"leader": pa.array(pairs[:, 0], pa.int64()), "rep": pa.array(pairs[:, 1], pa.int64())})
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_unpack(blob.as_py(), n, [_U, np.int64, np.int64]) for n, blob in zip(table.column("n").to_pylist(), table.column("blob"))]
+        keys, reps, sizes = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((sizes, keys))
+        keys, reps, sizes = keys[order], reps[order], sizes[order]
+        # by size, a gap that no alike pair can span ends a run
+        gap = (keys[1:] != keys[:-1]) | (percent * sizes[1:] > 100 * sizes[:-1])
+        start = np.flatnonzero(np.append(True, gap))
+        n = np.diff(np.append(start, len(keys)))
+        shared = np.repeat(n > 1, n)
+        pairs = np.unique(np.stack([np.repeat(np.minimum.reduceat(reps, start), n)[shared], reps[shared]], 1), axis=0)
+        return pa.table({"leader": pa.array(pairs[:, 0], pa.int64()), "rep": pa.array(pairs[:, 1], pa.int64())})
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -290,9 +295,9 @@ def near_groups(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc
 
     described = scratch.table(docs.mapInArrow(describe, "doc_id long, n long, digest binary, prefix binary"), "described")
     useful = described.where("doc_id IS NOT NULL AND n > 0")
-    classes = useful.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("prefix").alias("prefix"))
-    posted = classes.select("rep", "prefix").mapInArrow(_post(buckets), "bucket int, n long, blob binary")
-    meetings = posted.groupBy("bucket").applyInArrow(_meet, "leader long, rep long").distinct()
+    classes = useful.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("prefix").alias("prefix"))
+    posted = classes.select("rep", "n", "prefix").mapInArrow(_post(buckets), "bucket int, n long, blob binary")
+    meetings = posted.groupBy("bucket").applyInArrow(_meet(percent), "leader long, rep long").distinct()
     meetings = scratch.table(meetings, "meetings")
 
     # A group over BLOCK documents is cut into k blocks by id hash, and each pair of blocks is a group.
