@@ -365,12 +365,12 @@ def _(t: Tables) -> DataFrame:
 
 
 _SEGMENT = "CASE WHEN sum(o_totalprice::{0}) >= 10000 THEN 'Premium' WHEN sum(o_totalprice::{0}) >= 5000 THEN 'Gold' WHEN sum(o_totalprice::{0}) >= 1000 THEN 'Silver' ELSE 'Bronze' END".format(MONEY)
-_ANALYTICS = f"count(o_orderkey) AS total_orders, sum(o_totalprice::{MONEY})::DOUBLE AS total_spend, round(sum(o_totalprice::{MONEY})::DOUBLE / count(o_orderkey), 4) AS avg_order_value, max(o_orderdate)::DATE AS last_order_date, min(o_orderdate)::DATE AS first_order_date, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) AS customer_lifetime_days, {_SEGMENT} AS customer_segment"
+_ANALYTICS = f"count(o_orderkey) AS total_orders, sum(o_totalprice::{MONEY})::DOUBLE AS total_spend, sum(o_totalprice::{MONEY})::DOUBLE / nullif(count(o_orderkey), 0) AS avg_order_value, max(o_orderdate)::DATE AS last_order_date, min(o_orderdate)::DATE AS first_order_date, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) AS customer_lifetime_days, {_SEGMENT} AS customer_segment"
 
 
 def _analytics() -> list:
     total = A.money_sum(c("o_totalprice"))
-    return [F.count("o_orderkey").alias("total_orders"), total.alias("total_spend"), F.round(F.try_divide(total, F.count("o_orderkey")), 4).alias("avg_order_value"), F.max("o_orderdate").cast("date").alias("last_order_date"), F.min("o_orderdate").cast("date").alias("first_order_date"), F.datediff(F.max("o_orderdate"), F.min("o_orderdate")).cast("long").alias("customer_lifetime_days"), S.customer_segment(total).alias("customer_segment")]
+    return [F.count("o_orderkey").alias("total_orders"), total.alias("total_spend"), F.try_divide(total, F.count("o_orderkey")).alias("avg_order_value"), F.max("o_orderdate").cast("date").alias("last_order_date"), F.min("o_orderdate").cast("date").alias("first_order_date"), F.datediff(F.max("o_orderdate"), F.min("o_orderdate")).cast("long").alias("customer_lifetime_days"), S.customer_segment(total).alias("customer_segment")]
 
 
 @query("customer_analytics", f"SELECT c_custkey, c_name, n_name, {_ANALYTICS} FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON c_custkey = o_custkey WHERE o_orderdate BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1996-12-31' GROUP BY 1, 2, 3")
@@ -838,21 +838,21 @@ def _(t: Tables) -> DataFrame:
 
 def _bills(t: Tables) -> DataFrame:
     credit = F.array(F.struct(F.lit("DISCOUNT").alias("type"), (-c("o_orderkey") % 7).cast("decimal(18,2)").alias("amount")), F.struct(F.lit("PROMOTION").alias("type"), (-c("o_orderkey") % 3).cast("decimal(18,2)").alias("amount")))
-    return t.orders.select(c("o_orderpriority").alias("service"), c("o_orderdate").alias("at"), c("o_totalprice").alias("cost"), credit.alias("credits"))
+    return t.orders.select(c("o_orderpriority").alias("service"), c("o_orderdate").alias("used_at"), c("o_totalprice").alias("cost"), credit.alias("credits"))
 
 
-_BILLS = "(SELECT o_orderpriority AS service, o_orderdate AS at, o_totalprice AS cost, [{'type': 'DISCOUNT', 'amount': (-o_orderkey % 7)::DECIMAL(18,2)}, {'type': 'PROMOTION', 'amount': (-o_orderkey % 3)::DECIMAL(18,2)}] AS credits FROM orders) b"
+_BILLS = "(SELECT o_orderpriority AS service, o_orderdate AS used_at, o_totalprice AS cost, [{'type': 'DISCOUNT', 'amount': (-o_orderkey % 7)::DECIMAL(18,2)}, {'type': 'PROMOTION', 'amount': (-o_orderkey % 3)::DECIMAL(18,2)}] AS credits FROM orders) b"
 _CREDITS = "list_sum(list_transform({0}, lambda x: x.amount))"
 
 
-@query("billing_monthly", f"SELECT service, year(at) AS year, month(at) AS month, sum(cost::{MONEY})::DOUBLE AS total_cost, count(DISTINCT at::DATE) AS active_days, round(sum(cost::{MONEY})::DOUBLE / count(DISTINCT at::DATE), 4) AS avg_daily_cost FROM {_BILLS} GROUP BY 1, 2, 3")
+@query("billing_monthly", f"SELECT service, year(used_at) AS year, month(used_at) AS month, sum(cost::{MONEY})::DOUBLE AS total_cost, count(DISTINCT used_at::DATE) AS active_days, round(sum(cost::{MONEY})::DOUBLE / count(DISTINCT used_at::DATE), 4) AS avg_daily_cost FROM {_BILLS} GROUP BY 1, 2, 3")
 def _(t: Tables) -> DataFrame:
-    return R.monthly_cost(_bills(t), "service", "at", "cost")
+    return R.monthly_cost(_bills(t), "service", "used_at", "cost")
 
 
-@query("billing_daily_savings", f"SELECT at::DATE AS day, sum(cost::{MONEY})::DOUBLE AS gross_cost, sum(({_CREDITS.format('list_filter(credits, lambda x: x.type = ~DISCOUNT~)')})::{MONEY})::DOUBLE AS discount, sum(({_CREDITS.format('credits')})::{MONEY})::DOUBLE AS all_credits, sum(cost::{MONEY} + ({_CREDITS.format('credits')})::{MONEY})::DOUBLE AS net_cost FROM {_BILLS} GROUP BY 1".replace("~", "'"))
+@query("billing_daily_savings", f"SELECT used_at::DATE AS day, sum(cost::{MONEY})::DOUBLE AS gross_cost, sum(({_CREDITS.format('list_filter(credits, lambda x: x.type = ~DISCOUNT~)')})::{MONEY})::DOUBLE AS discount, sum(({_CREDITS.format('credits')})::{MONEY})::DOUBLE AS all_credits, sum(cost::{MONEY} + ({_CREDITS.format('credits')})::{MONEY})::DOUBLE AS net_cost FROM {_BILLS} GROUP BY 1".replace("~", "'"))
 def _(t: Tables) -> DataFrame:
-    return R.daily_cost(_bills(t), None, "at", "cost", "credits")
+    return R.daily_cost(_bills(t), None, "used_at", "cost", "credits")
 
 
 @query("billing_threshold", f"SELECT service, total_cost, CASE WHEN total_cost >= 20000000 THEN 'alert' WHEN total_cost >= 16000000 THEN 'warning' ELSE 'ok' END AS alert FROM (SELECT service, sum(cost::{MONEY})::DOUBLE AS total_cost FROM {_BILLS} GROUP BY 1)")
@@ -860,9 +860,9 @@ def _(t: Tables) -> DataFrame:
     return R.threshold_alert(_bills(t).groupBy("service").agg(A.money_sum(c("cost")).alias("total_cost")), "total_cost", 20000000)
 
 
-@query("billing_top10", f"SELECT service, year(at) AS year, month(at) AS month, sum(cost::{MONEY})::DOUBLE AS total_cost FROM {_BILLS} GROUP BY 1, 2, 3 ORDER BY total_cost DESC, service, year, month LIMIT 10")
+@query("billing_top10", f"SELECT service, year(used_at) AS year, month(used_at) AS month, sum(cost::{MONEY})::DOUBLE AS total_cost FROM {_BILLS} GROUP BY 1, 2, 3 ORDER BY total_cost DESC, service, year, month LIMIT 10")
 def _(t: Tables) -> DataFrame:
-    return R.monthly_cost(_bills(t), "service", "at", "cost").select("service", "year", "month", "total_cost").orderBy(F.desc("total_cost"), "service", "year", "month").limit(10)
+    return R.monthly_cost(_bills(t), "service", "used_at", "cost").select("service", "year", "month", "total_cost").orderBy(F.desc("total_cost"), "service", "year", "month").limit(10)
 
 
 # -- extensions ------------------------------------------------------------
