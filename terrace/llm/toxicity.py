@@ -19,7 +19,7 @@ SAMPLE = 12_000
 #: Hashed features.
 WIDTH = 1 << 18
 #: P(grade >= 1) from which a text counts as toxic; the ridge pulls probabilities of rare grades down.
-TOXIC_FROM = 0.2
+TOXIC_FROM = 0.25
 STRIP = ".,;:!?|\"'()[]{}<>#$%&*-_"
 
 
@@ -47,15 +47,15 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(np.asarray(score)[:, None] - self.cuts, -500, 500)))
 
 
-def telling_features(rows: list[np.ndarray], toxic: np.ndarray, least: float = 4.0) -> np.ndarray:
-    """Marks features whose share of toxic rows exceeds that of others by ``least`` standard errors."""
+def telling_features(rows: list[np.ndarray], toxic: np.ndarray, least: float = 6.0, rows_with: int = 5) -> np.ndarray:
+    """Marks features of ``rows_with`` toxic rows or more whose share of toxic rows exceeds that of others by ``least`` standard errors."""
     n1, n0 = max(int(toxic.sum()), 1), max(int((toxic == 0).sum()), 1)
     counts = [np.zeros(WIDTH), np.zeros(WIDTH)]
     for r, t in zip(rows, toxic):
         counts[int(t > 0)][np.unique(r)] += 1
     p0, p1, p = counts[0] / n0, counts[1] / n1, (counts[0] + counts[1]) / (n0 + n1)
     error = np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1))
-    return p1 - p0 >= least * error
+    return (p1 - p0 >= least * error) & (counts[1] >= rows_with)
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = 400, l2: float = 1e-4, rate: float = 0.1) -> OrdinalModel:
@@ -67,7 +67,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
     which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     used, place = np.unique(at, return_inverse=True)
     w, first = np.zeros(len(used)), np.bincount(grades, minlength=n_grades).astype(float)
-    tail = np.clip(1 - np.cumsum(first)[:-1] / max(first.sum(), 1), 1e-4, 1 - 1e-4)
+    tail = np.clip(1 - np.cumsum(first)[:-1] / first.sum(), 1e-4, 1 - 1e-4) if first.any() else np.full(n_grades - 1, 1e-4)
     cuts = np.log(1 / tail - 1)  # where the score is 0, the grades' shares
     params = [w, cuts]
     mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
