@@ -61,7 +61,7 @@ def scatter(df: DataFrame, x: str, y: str, most: int = 1000) -> DataFrame:
 def monthly_cost(df: DataFrame, service: str, at: str, cost: str) -> DataFrame:
     c = F.sum(F.col(cost).cast("decimal(18,2)"))
     days = F.countDistinct(F.to_date(at))
-    return df.groupBy(F.col(service).alias("service"), F.year(at).cast("long").alias("year"), F.month(at).cast("long").alias("month")).agg(c.cast("double").alias("total_cost"), days.alias("active_days"), F.round(c.cast("double") / days, 4).alias("avg_daily_cost"))
+    return df.groupBy(F.col(service).alias("service"), F.year(at).cast("long").alias("year"), F.month(at).cast("long").alias("month")).agg(c.cast("double").alias("total_cost"), days.alias("active_days"), (c.cast("double") / days).alias("avg_daily_cost"))
 
 
 def credit_sum(credits: Column, kinds: list[str] | None = None) -> Column:

@@ -129,7 +129,7 @@ def drop_anomalies(df: DataFrame, distance: str, amount: str) -> DataFrame:
     return df.filter((d > 0) & (a > 0) & ~((d < 5) & (a > 100)))
 
 
-def deduplicate(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], keep: str = "first") -> DataFrame:
+def deduplicate(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str], keep: str = "first") -> DataFrame:
     """One row of each key: the first or last in a stated order, so that reruns agree."""
     if keep not in ("first", "last"):
         raise ValueError(keep)

@@ -186,7 +186,7 @@ def _(t: Tables) -> DataFrame:
 
 # -- windows, sets, limits -------------------------------------------------
 
-_LINE = [c("l_shipdate"), c("l_partkey"), c("l_suppkey"), c("l_quantity"), c("l_extendedprice"), c("l_discount"), c("l_tax"), c("l_returnflag"), c("l_linestatus")]
+_LINE = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 _LINE_SQL = "l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
 
 
@@ -283,12 +283,12 @@ def _tiers(column: str, value: str | None = None) -> list:
 _TIERS = ", ".join(f"count(CASE WHEN order_category = '{k}_value' THEN 1 END) AS {k}_value_orders" for k in ("high", "medium", "low"))
 _TIER_SUMS = ", ".join(f"sum(CASE WHEN order_category = '{k}_value' THEN total_amount ELSE 0 END::{MONEY})::DOUBLE AS {k}_value_revenue" for k in ("high", "medium", "low"))
 _VALIDITY = "count(CASE WHEN data_quality_flag = 'valid' THEN 1 END) AS valid_records, count(CASE WHEN data_quality_flag = 'invalid' THEN 1 END) AS invalid_records"
-_MEASURES = f"count(*) AS total_orders, sum(total_amount::{MONEY})::DOUBLE AS total_spend, round(sum(total_amount::{MONEY})::DOUBLE / count(*), 4) AS avg_order_value, max(total_amount) AS max_order_value, min(total_amount) AS min_order_value"
+_MEASURES = f"count(*) AS total_orders, sum(total_amount::{MONEY})::DOUBLE AS total_spend, sum(total_amount::{MONEY})::DOUBLE / count(*) AS avg_order_value, max(total_amount) AS max_order_value, min(total_amount) AS min_order_value"
 
 
 def _measures() -> list:
     total = A.money_sum(c("total_amount"))
-    return [F.count(F.lit(1)).alias("total_orders"), total.alias("total_spend"), F.round(total / F.count(F.lit(1)), 4).alias("avg_order_value"), F.max("total_amount").alias("max_order_value"), F.min("total_amount").alias("min_order_value")]
+    return [F.count(F.lit(1)).alias("total_orders"), total.alias("total_spend"), (total / F.count(F.lit(1))).alias("avg_order_value"), F.max("total_amount").alias("max_order_value"), F.min("total_amount").alias("min_order_value")]
 
 
 def _validity() -> list:
@@ -320,22 +320,22 @@ def _(t: Tables) -> DataFrame:
 @query("gold_patient_kpis", f"""
     WITH v AS (SELECT o_orderpriority AS hospital_ward, l_suppkey AS doctor_id, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS los, l_returnflag AS severity_level FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
     s AS (SELECT *, CASE WHEN los > 30 THEN 'long_stay' WHEN los > 7 THEN 'medium_stay' ELSE 'short_stay' END AS stay_category FROM v)
-    SELECT hospital_ward, doctor_id, stay_category, severity_level, count(*) AS total_patients, sum(los)::BIGINT AS total_bed_days, round(sum(los)::DOUBLE / count(los), 4) AS avg_length_of_stay FROM s GROUP BY 1, 2, 3, 4""")
+    SELECT hospital_ward, doctor_id, stay_category, severity_level, count(*) AS total_patients, sum(los)::BIGINT AS total_bed_days, sum(los)::DOUBLE / count(los) AS avg_length_of_stay FROM s GROUP BY 1, 2, 3, 4""")
 def _(t: Tables) -> DataFrame:
     rows = t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey")).select(c("o_orderpriority").alias("hospital_ward"), c("l_suppkey").alias("doctor_id"), F.datediff("l_shipdate", "o_orderdate").cast("long").alias("los"), c("l_returnflag").alias("severity_level"))
     rows = rows.withColumn("stay_category", P.tier(c("los"), 30, 7, ("long_stay", "medium_stay", "short_stay")))
-    return rows.groupBy("hospital_ward", "doctor_id", "stay_category", "severity_level").agg(F.count(F.lit(1)).alias("total_patients"), F.sum("los").alias("total_bed_days"), F.round(F.sum("los").cast("double") / F.count("los"), 4).alias("avg_length_of_stay"))
+    return rows.groupBy("hospital_ward", "doctor_id", "stay_category", "severity_level").agg(F.count(F.lit(1)).alias("total_patients"), F.sum("los").alias("total_bed_days"), (F.sum("los").cast("double") / F.count("los")).alias("avg_length_of_stay"))
 
 
 def _geo(t: Tables) -> DataFrame:
     return t.customer.join(t.nation, c("c_nationkey") == c("n_nationkey")).join(t.region, c("n_regionkey") == c("r_regionkey"))
 
 
-@query("gold_customer_kpis", f"SELECT n_name AS state, r_name AS region, c_mktsegment AS district, CASE WHEN c_acctbal > 5000 THEN 'high_volume' WHEN c_acctbal > 0 THEN 'medium_volume' ELSE 'low_volume' END AS purchase_volume, count(*) AS total_customers, sum(c_acctbal::{MONEY})::DOUBLE AS total_units_purchased, round(sum(c_acctbal::{MONEY})::DOUBLE / count(*), 4) AS avg_units_purchased FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3, 4")
+@query("gold_customer_kpis", f"SELECT n_name AS state, r_name AS region, c_mktsegment AS district, CASE WHEN c_acctbal > 5000 THEN 'high_volume' WHEN c_acctbal > 0 THEN 'medium_volume' ELSE 'low_volume' END AS purchase_volume, count(*) AS total_customers, sum(c_acctbal::{MONEY})::DOUBLE AS total_units_purchased, sum(c_acctbal::{MONEY})::DOUBLE / count(*) AS avg_units_purchased FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3, 4")
 def _(t: Tables) -> DataFrame:
     volume = P.tier(c("c_acctbal"), 5000, 0, ("high_volume", "medium_volume", "low_volume"))
     total = A.money_sum(c("c_acctbal"))
-    return _geo(t).groupBy(c("n_name").alias("state"), c("r_name").alias("region"), c("c_mktsegment").alias("district"), volume.alias("purchase_volume")).agg(F.count(F.lit(1)).alias("total_customers"), total.alias("total_units_purchased"), F.round(total / F.count(F.lit(1)), 4).alias("avg_units_purchased"))
+    return _geo(t).groupBy(c("n_name").alias("state"), c("r_name").alias("region"), c("c_mktsegment").alias("district"), volume.alias("purchase_volume")).agg(F.count(F.lit(1)).alias("total_customers"), total.alias("total_units_purchased"), (total / F.count(F.lit(1))).alias("avg_units_purchased"))
 
 
 @query("gold_group_agg", "SELECT o_orderstatus, max(o_totalprice) AS o_totalprice_max, min(o_totalprice) AS o_totalprice_min, count(o_orderkey) AS o_orderkey_count, count(DISTINCT o_custkey) AS o_custkey_count_distinct FROM orders GROUP BY 1")
@@ -386,10 +386,10 @@ def _(t: Tables) -> DataFrame:
     return t.customer.join(t.orders, c("c_custkey") == c("o_custkey"), "left").groupBy("c_custkey").agg(*_analytics())
 
 
-@query("sales_analytics", f"SELECT o_orderstatus, date_trunc('month', o_orderdate)::DATE AS month, count(DISTINCT o_orderkey) AS total_orders, count(DISTINCT o_custkey) AS unique_customers, sum(o_totalprice::{MONEY})::DOUBLE AS total_revenue, round(sum(o_totalprice::{MONEY})::DOUBLE / count(DISTINCT o_custkey), 4) AS revenue_per_customer, round(count(o_orderkey)::DOUBLE / count(DISTINCT o_custkey), 4) AS orders_per_customer FROM orders GROUP BY 1, 2")
+@query("sales_analytics", f"SELECT o_orderstatus, date_trunc('month', o_orderdate)::DATE AS month, count(DISTINCT o_orderkey) AS total_orders, count(DISTINCT o_custkey) AS unique_customers, sum(o_totalprice::{MONEY})::DOUBLE AS total_revenue, sum(o_totalprice::{MONEY})::DOUBLE / count(DISTINCT o_custkey) AS revenue_per_customer, count(o_orderkey)::DOUBLE / count(DISTINCT o_custkey) AS orders_per_customer FROM orders GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     total, people = A.money_sum(c("o_totalprice")), F.countDistinct("o_custkey")
-    return t.orders.groupBy("o_orderstatus", F.date_trunc("month", "o_orderdate").cast("date").alias("month")).agg(F.countDistinct("o_orderkey").alias("total_orders"), people.alias("unique_customers"), total.alias("total_revenue"), F.round(total / people, 4).alias("revenue_per_customer"), F.round(F.count("o_orderkey") / people, 4).alias("orders_per_customer"))
+    return t.orders.groupBy("o_orderstatus", F.date_trunc("month", "o_orderdate").cast("date").alias("month")).agg(F.countDistinct("o_orderkey").alias("total_orders"), people.alias("unique_customers"), total.alias("total_revenue"), (total / people).alias("revenue_per_customer"), (F.count("o_orderkey") / people).alias("orders_per_customer"))
 
 
 @query("executive_summary", f"SELECT 'Executive Summary' AS report_type, '1998-01-01' AS report_date, count(DISTINCT o_custkey) AS total_customers, count(DISTINCT o_orderkey) AS total_orders, sum(o_totalprice::{MONEY})::DOUBLE AS total_revenue, count(DISTINCT CASE WHEN o_orderdate >= TIMESTAMP '1997-12-02' THEN o_custkey END) AS active_customers_30d, count(DISTINCT CASE WHEN o_orderdate >= TIMESTAMP '1997-10-03' THEN o_custkey END) AS active_customers_90d FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01'")
@@ -845,7 +845,7 @@ _BILLS = "(SELECT o_orderpriority AS service, o_orderdate AS used_at, o_totalpri
 _CREDITS = "list_sum(list_transform({0}, lambda x: x.amount))"
 
 
-@query("billing_monthly", f"SELECT service, year(used_at) AS year, month(used_at) AS month, sum(cost::{MONEY})::DOUBLE AS total_cost, count(DISTINCT used_at::DATE) AS active_days, round(sum(cost::{MONEY})::DOUBLE / count(DISTINCT used_at::DATE), 4) AS avg_daily_cost FROM {_BILLS} GROUP BY 1, 2, 3")
+@query("billing_monthly", f"SELECT service, year(used_at) AS year, month(used_at) AS month, sum(cost::{MONEY})::DOUBLE AS total_cost, count(DISTINCT used_at::DATE) AS active_days, sum(cost::{MONEY})::DOUBLE / count(DISTINCT used_at::DATE) AS avg_daily_cost FROM {_BILLS} GROUP BY 1, 2, 3")
 def _(t: Tables) -> DataFrame:
     return R.monthly_cost(_bills(t), "service", "used_at", "cost")
 
