@@ -96,82 +96,90 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 class PrefixTree:
-    """Sets in lexicographic order of their keys, and the tree over their common beginnings."""
+    """Sets in lexicographic order of their keys, and the tree over their common beginnings.
+
+    All sets walk the tree together: at each node there is a vector of the
+    overlaps, with the node's path, of the sets that may still find a partner
+    below it.
+    """
 
     def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
-        n = len(sets)
-        # node: (first set, after last set, depth above its edge, depth, shortest, longest, children)
-        lengths = np.array([len(s) for s in sets])
-        common = [0] * (n + 1)
+        self.percent, n = percent, len(sets)
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.start = np.append(0, np.cumsum(self.sizes))
+        flat = np.concatenate(sets) if sets else np.zeros(0, _U)
+        distinct, ranks = np.unique(flat, return_inverse=True)
+        self.ranks, self.width = ranks.astype(np.int64), len(distinct) + 1
+        owner = np.repeat(np.arange(n), self.sizes)
+        # who has a key, by key; and all (set, key) pairs in order, to count a set's keys up to one
+        self.holders = owner[np.argsort(self.ranks, kind="stable")]
+        self.bounds = np.append(0, np.cumsum(np.bincount(self.ranks, minlength=len(distinct))))
+        self.pairs = owner * self.width + self.ranks
+        common = np.zeros(n + 1, np.int64)
         for k in range(1, n):
-            a, b = sets[k - 1], sets[k]
-            m = min(len(a), len(b))
-            differ = np.flatnonzero(a[:m] != b[:m])
-            common[k] = int(differ[0]) if len(differ) else m
-        self.lengths = lengths
-        common = np.array(common)
-
-        self.nodes: list[tuple] = []
-
-        def build(lo: int, hi: int, above: int) -> int:
-            """Iterative, since depths are not bounded."""
-            stack = [(lo, hi, above, None)]
-            root = None
-            while stack:
-                lo, hi, above, parent = stack.pop()
-                depth = int(common[lo + 1 : hi].min()) if hi - lo > 1 else int(lengths[lo])
-                node = len(self.nodes)
-                self.nodes.append((lo, hi, above, depth, int(lengths[lo:hi].min()), int(lengths[lo:hi].max()), []))
-                if parent is None:
-                    root = node
-                else:
-                    self.nodes[parent][6].append(node)
-                if hi - lo > 1:
-                    cuts = [lo, *(lo + 1 + np.flatnonzero(common[lo + 1 : hi] == depth)).tolist(), hi]
-                    stack += [(a, b, depth, node) for a, b in zip(cuts, cuts[1:])]
-            return root
-
-        self.root = build(0, n, 0) if n else None
-
-    def _reachable(self, overlap: int, left: int, size: int, depth: int, short: int, long: int) -> bool:
-        """Whether a set of short to long elements, depth of them seen, may still be alike."""
-        best = min(max(depth + left, short), long)
-        total = overlap + min(left, best - depth)
-        return 100 * total >= self.percent * (size + best - total)
+            x, y = sets[k - 1], sets[k]
+            m = min(len(x), len(y))
+            differ = np.flatnonzero(x[:m] != y[:m])
+            common[k] = differ[0] if len(differ) else m
+        # node: first set, after last set, depth above its edge, depth, children
+        self.nodes: list[tuple[int, int, int, int, list[int]]] = []
+        stack: list[tuple[int, int, int, int]] = [(0, n, 0, -1)] if n else []
+        while stack:
+            lo, hi, above, parent = stack.pop()
+            depth = int(common[lo + 1 : hi].min()) if hi - lo > 1 else int(self.sizes[lo])
+            if parent >= 0:
+                self.nodes[parent][4].append(len(self.nodes))
+            if hi - lo > 1:
+                cuts = [lo, *(lo + 1 + np.flatnonzero(common[lo + 1 : hi] == depth)).tolist(), hi]
+                stack += [(x, y, depth, len(self.nodes)) for x, y in zip(cuts, cuts[1:])]
+            self.nodes.append((lo, hi, above, depth, []))
+
+    def _seen(self, edge: np.ndarray) -> np.ndarray:
+        """How many of an edge's keys each set has."""
+        lo, n = self.bounds[edge], self.bounds[edge + 1] - self.bounds[edge]
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return np.bincount(self.holders[at], minlength=len(self.sizes))
+
+    def _reachable(self, who: np.ndarray, overlap: np.ndarray, last: int, depth: int, short: int, long: int) -> np.ndarray:
+        """Which sets may be alike to one of ``short`` to ``long`` keys, ``depth`` of them seen up to key ``last``."""
+        left = self.start[who + 1] - np.searchsorted(self.pairs, who * self.width + last, "right") if last >= 0 else self.sizes[who]
+        best = np.clip(depth + left, short, long)
+        total = overlap + np.minimum(left, best - depth)
+        return 100 * total >= self.percent * (self.sizes[who] + best - total)
 
     def links(self) -> list[tuple[int, int]]:
-        """Pairs that join all components of the sets; pairs within a joined component are not walked to."""
-        label = np.arange(len(self.sets))
-        members = {k: [k] for k in range(len(self.sets))}
-        out = []
-        for x, keys in enumerate(self.sets):
-            size = len(keys)
-            if not size:
+        """Pairs that join all components of the sets; sets of one component do not walk to each other."""
+        n = len(self.sizes)
+        label = np.arange(n)
+        members = {k: [k] for k in range(n)}
+        out: list[tuple[int, int]] = []
+        everyone = np.flatnonzero(self.sizes)
+        stack = [(0, everyone, np.zeros(len(everyone), np.int64))] if n else []
+        while stack:
+            node, who, overlap = stack.pop()
+            lo, hi, above, depth, children = self.nodes[node]
+            short, long = int(self.sizes[lo:hi].min()), int(self.sizes[lo:hi].max())
+            below = label[lo:hi]
+            keep = who < hi - 1
+            if (below == below[0]).all():
+                keep &= label[who] != below[0]
+            who, overlap = who[keep], overlap[keep]
+            at, step = above, 32
+            while len(who) and at < depth:
+                edge = self.ranks[self.start[lo] + at : self.start[lo] + min(at + step, depth)]
+                overlap = overlap + self._seen(edge)[who]
+                at += len(edge)
+                step *= 4
+                keep = self._reachable(who, overlap, int(edge[-1]), at, short, long)
+                who, overlap = who[keep], overlap[keep]
+            if not len(who):
+                continue
+            if hi - lo > 1:
+                stack += [(c, who, overlap) for c in reversed(children)]
                 continue
-            stack = [(self.root, 0, 0)]  # node, overlap above its edge, elements of x passed
-            while stack:
-                node, overlap, passed = stack.pop()
-                lo, hi, above, depth, short, long, children = self.nodes[node]
-                if hi <= x + 1 or (label[max(lo, x + 1) : hi] == label[x]).all():
-                    continue
-                edge, step, alive = self.sets[lo], 32, self._reachable(overlap, size - passed, size, above, short, long)
-                at = above
-                while alive and at < depth:
-                    part = edge[at : min(at + step, depth)]
-                    i = np.searchsorted(keys, part)
-                    overlap += int((keys[np.minimum(i, size - 1)] == part).sum())
-                    passed = int(i[-1]) + int(i[-1] < size and keys[i[-1]] == part[-1])
-                    at += len(part)
-                    step *= 4
-                    alive = self._reachable(overlap, size - passed, size, at, short, long)
-                if not alive:
-                    continue
-                if hi - lo == 1:
-                    if 100 * overlap >= self.percent * (size + int(self.lengths[lo]) - overlap):
-                        self._join(x, lo, label, members, out)
-                    continue
-                stack += [(c, overlap, passed) for c in children]
+            alike = 100 * overlap >= self.percent * (self.sizes[who] + self.sizes[lo] - overlap)
+            for x in who[alike].tolist():
+                self._join(x, lo, label, members, out)
         return out
 
     @staticmethod
