@@ -90,9 +90,18 @@ def word_levels(docs: DataFrame) -> np.ndarray:
     return np.minimum(63, 2 * np.log2(out + 1)).astype(np.uint8)
 
 
+def margin(n: int, percent: int) -> int:
+    """Elements of their first ones that alike sets share at least: a twentieth of the overlap they need, or one."""
+    return max(1, -(-percent * n // 100) // 20)
+
+
 def prefix_length(n: int, percent: int) -> int:
-    """Of two sets with Jaccard of ``percent`` or more, so many first elements of either share one."""
-    return n - -(-percent * n // 100) + 1
+    """Of two alike sets, so many first elements of either share ``margin`` of the smaller at least.
+
+    They share ``need`` elements at least, and all but ``n - need`` of either
+    are shared; so of ``n - need + k`` first elements, k of the smaller k are.
+    """
+    return n - -(-percent * n // 100) + margin(n, percent)
 
 
 class PrefixTree:
@@ -230,9 +239,15 @@ def _post(buckets: int, flush: int = 1_000_000):
     return run
 
 
-def _meet(percent: int):
-    """Of each key that several documents of like sizes hold: each with the smallest of them."""
-    from terrace.llm.suffixdedup import _unpack
+_MEETINGS_KINDS = [np.int64, np.int64, np.int32, np.int64]
+
+
+def _meet(percent: int, buckets: int):
+    """Of each key that several documents of like sizes hold: each with the smallest of them, and how often.
+
+    Rows are packed by groups of documents, as many as there are buckets.
+    """
+    from terrace.llm.suffixdedup import _pack, _unpack
 
     def run(table: pa.Table) -> pa.Table:
         parts = [_unpack(blob.as_py(), n, [_U, np.int64, np.int64]) for n, blob in zip(table.column("n").to_pylist(), table.column("blob"))]
@@ -244,8 +259,39 @@ def _meet(percent: int):
         start = np.flatnonzero(np.append(True, gap))
         n = np.diff(np.append(start, len(keys)))
         shared = np.repeat(n > 1, n)
-        pairs = np.unique(np.stack([np.repeat(np.minimum.reduceat(reps, start), n)[shared], reps[shared]], 1), axis=0)
-        return pa.table({"leader": pa.array(pairs[:, 0], pa.int64()), "rep": pa.array(pairs[:, 1], pa.int64())})
+        leaders, reps, sizes = np.repeat(np.minimum.reduceat(reps, start), n)[shared], reps[shared], sizes[shared]
+        if not len(reps):
+            return _POSTINGS.empty_table()
+        order = np.lexsort((leaders, reps))
+        leaders, reps, sizes = leaders[order], reps[order], sizes[order]
+        at = np.flatnonzero(np.append(True, (reps[1:] != reps[:-1]) | (leaders[1:] != leaders[:-1])))
+        times = np.diff(np.append(at, len(reps)))
+        columns = [leaders[at], reps[at], times.astype(np.int32), sizes[at]]
+        with np.errstate(over="ignore"):
+            group = ((columns[1].astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(32)) * _U(buckets) >> _U(32)
+        order = np.argsort(group, kind="stable")
+        ends = np.searchsorted(group[order].astype(np.int64), np.arange(buckets + 1))
+        out = [arrow.batch(_POSTINGS, [b], [int(ends[b + 1] - ends[b])], [_pack([c[order][ends[b] : ends[b + 1]] for c in columns])]) for b in np.flatnonzero(np.diff(ends)).tolist()]
+        return pa.Table.from_batches(out, _POSTINGS)
+
+    return run
+
+
+def _settle(percent: int):
+    """Keeps documents that share as many first elements as an alike partner asks for; their leaders, once each."""
+    from terrace.llm.suffixdedup import _unpack
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_unpack(blob.as_py(), n, _MEETINGS_KINDS) for n, blob in zip(table.column("n").to_pylist(), table.column("blob"))]
+        leaders, reps, times, sizes = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((leaders, reps))
+        leaders, reps, times, sizes = leaders[order], reps[order], times[order], sizes[order]
+        start = np.flatnonzero(np.append(True, reps[1:] != reps[:-1]))
+        # the margin of the smallest set that may be alike
+        least = np.maximum(1, percent * sizes[start] // 100 * percent // 100 // 20)
+        keep = np.repeat(np.add.reduceat(times.astype(np.int64), start) >= least, np.diff(np.append(start, len(reps))))
+        keep[1:] &= (reps[1:] != reps[:-1]) | (leaders[1:] != leaders[:-1])
+        return pa.table({"leader": pa.array(leaders[keep], pa.int64()), "rep": pa.array(reps[keep], pa.int64())})
 
     return run
 
@@ -305,11 +351,11 @@ def near_groups(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc
     useful = described.where("doc_id IS NOT NULL AND n > 0")
     classes = useful.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("prefix").alias("prefix"))
     posted = classes.select("rep", "n", "prefix").mapInArrow(_post(buckets), "bucket int, n long, blob binary")
-    meetings = posted.groupBy("bucket").applyInArrow(_meet(percent), "leader long, rep long").distinct()
-    meetings = scratch.table(meetings, "meetings")
+    met = posted.groupBy("bucket").applyInArrow(_meet(percent, buckets), "bucket int, n long, blob binary")
+    meetings = scratch.table(met.groupBy("bucket").applyInArrow(_settle(percent), "leader long, rep long"), "meetings")
 
     # A group over BLOCK documents is cut into k blocks by id hash, and each pair of blocks is a group.
-    size = meetings.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    size = meetings.groupBy("leader").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("leader", F.ceil(F.col("size") / BLOCK).cast("int").alias("k"))
     mine = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
     seats = meetings.join(size, "leader").select("leader", "rep", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
     groups = seats.select("rep", F.struct("leader", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).alias("g"))
