@@ -385,7 +385,8 @@ def near_groups(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc
 
     # ids that several rows share bring each of their texts
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text")
-    laid = texts.join(wanted, "rep").select("rep", "text", "groups").mapInArrow(lay_out, "leader long, i int, j int, rep long, keys binary")
+    # candidates grow with the input, so they are never broadcast: one plan at every size
+    laid = texts.join(wanted.hint("merge"), "rep").select("rep", "text", "groups").mapInArrow(lay_out, "leader long, i int, j int, rep long, keys binary")
     edges = laid.groupBy("leader", "i", "j").applyInArrow(join, "a long, b long")
     same = useful.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest")
     copies = same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
