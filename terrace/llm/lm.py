@@ -60,21 +60,34 @@ class _Words:
         return out
 
 
-def _histories(words: list[np.ndarray], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """All words of some texts, and for each the hashes of its last 1 to order - 1 predecessors."""
+def _predecessors(words: list[np.ndarray], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All words of some texts, and for each its predecessors, 1 to order - 1 words back."""
     if not words:
         return np.zeros(0, _U), [np.zeros(0, _U) for _ in range(order - 1)]
     flat = np.concatenate(words)
     n = np.array([len(w) for w in words])
     place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-    hashes, h = [], np.zeros(len(flat), _U)
+    out = []
     for back in range(1, order):
         before = np.full(len(flat), BEGIN)
         inside = place >= back
         before[inside] = flat[np.flatnonzero(inside) - back]
-        h = _mix(h, before)
-        hashes.append(h)
-    return flat, hashes
+        out.append(before)
+    return flat, out
+
+
+def _hashes(before: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the last 1, 2, ... predecessors."""
+    out: list[np.ndarray] = []
+    for x in before:
+        out.append(_mix(out[-1] if out else np.zeros(len(x), _U), x))
+    return out
+
+
+def _histories(words: list[np.ndarray], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All words of some texts, and for each the hashes of its last 1 to order - 1 predecessors."""
+    flat, before = _predecessors(words, order)
+    return flat, _hashes(before)
 
 
 def _merge(columns: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -94,18 +107,36 @@ _BLOB_DDL = "bucket int, kind string, n long, blob binary"
 
 
 def _pack(columns: list[np.ndarray], sums: list[np.ndarray]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in [*columns, *(s.astype("<u4") if s.max(initial=0) < 1 << 32 else np.full(len(s), (1 << 32) - 1, "<u4") for s in sums)]))
+    """Rows in any order; columns by a dictionary of their values where that is shorter."""
+    n, width = len(columns[0]), 0
+    values, at = np.unique(np.concatenate(columns), return_inverse=True)
+    index = np.min_scalar_type(max(len(values) - 1, 0))
+    if len(values) * 8 + len(at) * index.itemsize < len(at) * 8:
+        width, at = index.itemsize, at.reshape(len(columns), n)
+        order = np.lexsort(at[::-1])
+        columns, sums = [values, *(x[order].astype(f"<u{width}") for x in at)], [s[order] for s in sums]
+    head = np.array([width, len(values)], "<i8")
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in [head, *columns, *(np.minimum(s, (1 << 32) - 1).astype("<u4") for s in sums)]))
 
 
 def _unpack(blob: bytes, n: int, n_columns: int, n_sums: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    columns = [np.frombuffer(raw, _U, n, 8 * n * k) for k in range(n_columns)]
-    return columns, [np.frombuffer(raw, "<u4", n, 8 * n * n_columns + 4 * n * k).astype(np.int64) for k in range(n_sums)]
+    raw, at = zstandard.ZstdDecompressor().decompress(blob), 0
+
+    def take(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(raw, kind, n, at)
+        at += out.nbytes
+        return out
 
+    width, n_values = take("<i8", 2).tolist()
+    values = take("<u8", n_values) if width else None
+    columns = [values[take(f"<u{width}", n)] if width else take("<u8", n) for _ in range(n_columns)]
+    return columns, [take("<u4", n).astype(np.int64) for _ in range(n_sums)]
 
-def _blobs(columns: list[np.ndarray], sums: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Merged rows, sorted by their first column, a blob for each bucket of it."""
-    ends = np.searchsorted(_bucket(columns[0], buckets), np.arange(buckets + 1))
+
+def _blobs(by: np.ndarray, columns: list[np.ndarray], sums: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Merged rows, sorted by ``by``, a blob for each bucket of it."""
+    ends = np.searchsorted(_bucket(by, buckets), np.arange(buckets + 1))
     for b in range(buckets):
         lo, hi = ends[b], ends[b + 1]
         if hi > lo:
@@ -113,15 +144,15 @@ def _blobs(columns: list[np.ndarray], sums: list[np.ndarray], buckets: int) -> I
 
 
 def _count(order: int, buckets: int, modulus: int, remainder: int):
-    """Counts of the highest level: columns are the histories, longest first, and the word."""
+    """Counts of the highest level: columns are the words, the farthest first, dealt by the hash of all but the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = _Words(), [], 0
 
         def flush():
-            flat, hashes = _histories(held, order)
-            columns, sums = _merge([*hashes[::-1], flat], [np.ones(len(flat), np.int64)])
-            return _blobs(columns, sums * 2, buckets)
+            flat, before = _predecessors(held, order)
+            (by, *columns), sums = _merge([*_hashes(before)[-1:], *before[::-1], flat] if before else [flat, flat], [np.ones(len(flat), np.int64)])
+            return _blobs(by, columns, sums * 2, buckets)
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), arrow.byte_values(b.column(1))):
@@ -137,13 +168,19 @@ def _count(order: int, buckets: int, modulus: int, remainder: int):
     return run
 
 
-def _level(level: int, folder: str, buckets: int):
-    """Merges one bucket of one level, writes its arrays, and passes on what the level below counts."""
+def _level(level: int, folder: str, buckets: int, words: bool):
+    """Merges one bucket of one level, writes its arrays, and passes on what the level below counts.
+
+    Its columns come as words from the tasks that count, from the level above
+    as the histories' hashes, longest first, and the word.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         columns, sums = [[] for _ in range(level)], [[], []]
         for n, blob in zip(table.column("n").to_pylist(), table.column("blob").to_pylist()):
             c, s = _unpack(blob, n, level, 2)
+            if words:
+                c = [*_hashes(c[-2::-1])[::-1], c[-1]]
             for k in range(level):
                 columns[k].append(c[k])
             for k in range(2):
@@ -163,7 +200,7 @@ def _level(level: int, folder: str, buckets: int):
         stats.append(len(ctx))
         lower, less = _merge(columns[1:], [np.ones(len(count), np.int64), raw])
         out = [arrow.batch(_BLOB, [bucket], ["stats"], [0], [np.array(stats, "<i8").tobytes()])]
-        return pa.Table.from_batches([*out, *_blobs(lower, less, buckets)])
+        return pa.Table.from_batches([*out, *_blobs(lower[0], lower, less, buckets)])
 
     return run
 
@@ -171,10 +208,10 @@ def _level(level: int, folder: str, buckets: int):
 def _write(path: str, arrays: list[np.ndarray]) -> None:
     """A whole file or none, even where two attempts of a task write it."""
     own = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
+    kinds = ["<u8" if a.dtype == _U else f"<u{np.min_scalar_type(int(a.max(initial=0))).itemsize}" for a in arrays]
     with open(own, "wb") as f:
-        for k, a in enumerate(arrays):
-            a.astype("<u8" if a.dtype == _U else "<i8" if a.max(initial=0) >= 1 << 31 else "<i4").tofile(f)
-    kinds = ["<u8" if a.dtype == _U else "<i8" if a.max(initial=0) >= 1 << 31 else "<i4" for a in arrays]
+        for k, a in zip(kinds, arrays):
+            a.astype(k).tofile(f)
     with open(f"{own}.head", "w") as f:
         f.write(";".join(f"{k},{len(a)}" for k, a in zip(kinds, arrays)))
     os.replace(f"{own}.head", f"{path}.head")
@@ -222,7 +259,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.0), k + 1.0) for k, x in enumerate(d))
 
 
-def train(df: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2) -> KneserNey:
+def train(df: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2) -> KneserNey:
     """Counts the n-grams of all texts but those held out. Null texts are one end token.
 
     Each task first merges its own n-grams, so a frequent one leaves it once
@@ -237,8 +274,9 @@ def train(df: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str =
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = docs.mapInArrow(_count(order, buckets, modulus, remainder), _BLOB_DDL)
     filled, found, tokens, vocabulary, unigrams = [], [], 0, 0, (0, 0, 0, 0)
+    above: list[str] = []
     for level in range(order, 0, -1):
-        merged = scratch.table(rows.where("kind = 'grams'").groupBy("bucket").applyInArrow(_level(level, folder, buckets), _BLOB_DDL), f"level-{level}")
+        merged = scratch.table(rows.where("kind = 'grams'").groupBy("bucket").applyInArrow(_level(level, folder, buckets, level == order), _BLOB_DDL), f"level-{level}")
         # one row of eight numbers for each bucket
         stats = {r["bucket"]: np.frombuffer(r["blob"], "<i8") for r in merged.where("kind = 'stats'").select("bucket", "blob").collect()}
         total = sum(stats.values(), np.zeros(7 + (level > 1), np.int64))
@@ -247,7 +285,8 @@ def train(df: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str =
         if level == 1:
             vocabulary, tokens = int(total[0]), int(total[2])
             unigrams = (int(total[1]), int(total[3]), int(total[4]), int(total[0] - total[3] - total[4]))
-        rows = merged
+        scratch.drop(spark, above)
+        rows, above = merged, scratch.made[-1:]
     return KneserNey(folder, order, buckets, tuple(filled[::-1]), tuple(found[::-1]), tokens, vocabulary, unigrams)
 
 

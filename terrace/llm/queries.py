@@ -54,7 +54,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return lm.score(docs, lm.train(docs, order=2))
+    return lm.score(docs, lm.train(docs, order=3))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,14 @@ def test_scores_against_dictionaries(spark, order):
     np.testing.assert_allclose([g[4:] for g in got], [w[4:] for w in want], rtol=1e-9)
 
 
+def test_query_scores_by_trigrams(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    plain = Plain([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    texts = dict(rows[:60])
+    got = {r.doc_id: r.score for r in queries.op9_kneser_ney(spark, sf_dir).collect() if r.doc_id in texts}
+    np.testing.assert_allclose([got[i] for i in texts], [plain.score(t)[3] for t in texts.values()], rtol=1e-9)
+
+
 def test_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(0, "a b a c"), (1, "b a b"), (4, "c c a b")], "doc_id long, text string")
     model = lm.train(df, order=2, modulus=1000, remainder=999)
