@@ -115,8 +115,9 @@ def _pack(columns: list[np.ndarray], sums: list[np.ndarray]) -> bytes:
         width, at = index.itemsize, at.reshape(len(columns), n)
         order = np.lexsort(at[::-1])
         columns, sums = [values, *(x[order].astype(f"<u{width}") for x in at)], [s[order] for s in sums]
-    head = np.array([width, len(values)], "<i8")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in [head, *columns, *(np.minimum(s, (1 << 32) - 1).astype("<u4") for s in sums)]))
+    wide = "<i8" if any(s.max(initial=0) >= 1 << 32 for s in sums) else "<u4"
+    head = np.array([width, len(values), int(wide[2])], "<i8")
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in [head, *columns, *(s.astype(wide) for s in sums)]))
 
 
 def _unpack(blob: bytes, n: int, n_columns: int, n_sums: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -128,10 +129,10 @@ def _unpack(blob: bytes, n: int, n_columns: int, n_sums: int) -> tuple[list[np.n
         at += out.nbytes
         return out
 
-    width, n_values = take("<i8", 2).tolist()
+    width, n_values, wide = take("<i8", 3).tolist()
     values = take("<u8", n_values) if width else None
     columns = [values[take(f"<u{width}", n)] if width else take("<u8", n) for _ in range(n_columns)]
-    return columns, [take("<u4", n).astype(np.int64) for _ in range(n_sums)]
+    return columns, [take("<i8" if wide == 8 else "<u4", n).astype(np.int64) for _ in range(n_sums)]
 
 
 def _blobs(by: np.ndarray, columns: list[np.ndarray], sums: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:

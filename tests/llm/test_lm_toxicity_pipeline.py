@@ -80,6 +80,14 @@ def test_query_scores_by_trigrams(spark, sf_dir):
     np.testing.assert_allclose([got[i] for i in texts], [plain.score(t)[3] for t in texts.values()], rtol=1e-9)
 
 
+def test_blobs_keep_large_sums():
+    columns, sums = [np.array([7, 3, 7], np.uint64)] * 2, [np.array([1, 2, 3]), np.array([5, 1 << 32, 6])]
+    for c in (columns[:1], columns, [np.arange(3, dtype=np.uint64)]):
+        got_c, got_s = lm._unpack(lm._pack(c, sums), 3, len(c), 2)
+        rows = lambda cs, ss: sorted(zip(*(x.tolist() for x in [*cs, *ss])))
+        assert rows(got_c, got_s) == rows(c, sums)
+
+
 def test_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(0, "a b a c"), (1, "b a b"), (4, "c c a b")], "doc_id long, text string")
     model = lm.train(df, order=2, modulus=1000, remainder=999)
