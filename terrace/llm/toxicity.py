@@ -18,7 +18,8 @@ from terrace.llm.bpe import _Memo
 SAMPLE = 12_000
 #: Hashed features.
 WIDTH = 1 << 18
-#: P(grade >= 1) from which a text counts as toxic; the ridge pulls probabilities of rare grades down.
+#: P(grade >= 1) from which a text counts as toxic; of 0.15, 0.2, 0.25 and 0.3 the least with 1 % false alarms at most, by
+#: cross-validation on the development split.
 TOXIC_FROM = 0.25
 STRIP = ".,;:!?|\"'()[]{}<>#$%&*-_"
 
@@ -47,7 +48,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(np.asarray(score)[:, None] - self.cuts, -500, 500)))
 
 
-def telling_features(rows: list[np.ndarray], toxic: np.ndarray, least: float = 6.0, rows_with: int = 5) -> np.ndarray:
+def telling_features(rows: list[np.ndarray], toxic: np.ndarray, least: float = 2.0, rows_with: int = 2) -> np.ndarray:
     """Marks features of ``rows_with`` toxic rows or more whose share of toxic rows exceeds that of others by ``least`` standard errors."""
     n1, n0 = max(int(toxic.sum()), 1), max(int((toxic == 0).sum()), 1)
     counts = [np.zeros(WIDTH), np.zeros(WIDTH)]
