@@ -11,7 +11,7 @@ cannot reach the overlap that any set below would need.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,8 +156,12 @@ class PrefixTree:
         total = overlap + np.minimum(left, best - depth)
         return 100 * total >= self.percent * (self.sizes[who] + best - total)
 
-    def links(self) -> list[tuple[int, int]]:
-        """Pairs that join all components of the sets; sets of one component do not walk to each other."""
+    def links(self, met: Callable[[int, np.ndarray], None] | None = None) -> list[tuple[int, int]]:
+        """Pairs that join all components of the sets.
+
+        Sets of one component do not walk to each other, unless ``met`` is
+        given: it gets, for each set, all alike sets of smaller numbers.
+        """
         n = len(self.sizes)
         label = np.arange(n)
         members = {k: [k] for k in range(n)}
@@ -170,7 +174,7 @@ class PrefixTree:
             short, long = int(self.sizes[lo:hi].min()), int(self.sizes[lo:hi].max())
             below = label[lo:hi]
             keep = who < hi - 1
-            if (below == below[0]).all():
+            if met is None and (below == below[0]).all():
                 keep &= label[who] != below[0]
             who, overlap = who[keep], overlap[keep]
             at, step = above, 32
@@ -187,7 +191,9 @@ class PrefixTree:
                 stack += [(c, who, overlap) for c in reversed(children)]
                 continue
             alike = 100 * overlap >= self.percent * (self.sizes[who] + self.sizes[lo] - overlap)
-            for x in who[alike].tolist():
+            if met is not None and alike.any():
+                met(lo, who[alike])
+            for x in who[alike & (label[who] != label[lo])].tolist():
                 self._join(x, lo, label, members, out)
         return out
 
@@ -319,11 +325,12 @@ def components(edges: DataFrame) -> DataFrame:
         labels = scratch.table(step.join(jump, "c", "left").select("a", F.least("c", F.coalesce("d", "c")).alias("c")), "labels")
 
 
-def near_groups(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count: bool = True) -> DataFrame:
     """Components of documents whose word n-gram sets have a Jaccard of ``percent`` / 100 or more.
 
-    Returns doc_id, n_shingles and component_id, the smallest id that links
-    reach. Words are runs of bytes other than 20 and 09-0D, A-Z lower-cased;
+    Returns doc_id, n_shingles, component_id, the smallest id that links
+    reach, and, with ``count``, n_links, how many other rows the row itself
+    links with, equal sets among them. Words are runs of bytes other than 20 and 09-0D, A-Z lower-cased;
     with fewer than n words, all of them are one n-gram; null, empty and blank
     texts have empty sets, which link with nothing. Documents with equal sets
     are one class, told by a 128-bit digest, and only its smallest id joins.
@@ -331,7 +338,8 @@ def near_groups(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc
     row's own. A row without an id has a null component and links with
     nothing. Only the two named columns are read.
 
-    Sets are compared by 58-bit hashes of their n-grams.
+    A pair of classes may meet in several groups; that of the smallest leader
+    they share, and in it that of their own blocks, counts it. Sets are compared by 58-bit hashes of their n-grams.
     """
     spark = df.sparkSession
     scratch.prepare(spark)
@@ -349,53 +357,99 @@ def near_groups(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc
 
     described = scratch.table(docs.mapInArrow(describe, "doc_id long, n long, digest binary, prefix binary"), "described")
     useful = described.where("doc_id IS NOT NULL AND n > 0")
+    sized = useful.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    own = sized.groupBy("rep").agg(F.collect_list(F.struct("digest", "rows")).alias("own"))
     classes = useful.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("prefix").alias("prefix"))
     posted = classes.select("rep", "n", "prefix").mapInArrow(_post(buckets), "bucket int, n long, blob binary")
     met = posted.groupBy("bucket").applyInArrow(_meet(percent, buckets), "bucket int, n long, blob binary")
     meetings = scratch.table(met.groupBy("bucket").applyInArrow(_settle(percent), "leader long, rep long"), "meetings")
 
     # A group over BLOCK documents is cut into k blocks by id hash, and each pair of blocks is a group.
-    size = meetings.groupBy("leader").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("leader", F.ceil(F.col("size") / BLOCK).cast("int").alias("k"))
+    several = own.where("size(own) > 1").select("rep", F.size("own").alias("sets"))  # ids with different texts
+    size = meetings.join(several, "rep", "left").groupBy("leader").agg(F.sum(F.coalesce("sets", F.lit(1))).alias("size")).where("size > 1").select("leader", F.ceil(F.col("size") / BLOCK).cast("int").alias("k"))
     mine = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
     seats = meetings.join(size, "leader").select("leader", "rep", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    groups = seats.select("rep", F.struct("leader", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).alias("g"))
-    wanted = groups.groupBy("rep").agg(F.collect_list("g").alias("groups"))
+    groups = seats.select("rep", F.struct("leader", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("i").alias("block")).alias("g"))
+    wanted = groups.groupBy("rep").agg(F.collect_list("g").alias("groups")).join(own, "rep")
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("leader", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("rep", pa.int64()), ("keys", pa.binary())])
+        schema = pa.schema([("leader", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("rep", pa.int64()), ("digest", pa.binary()), ("rows", pa.int64()), ("before", pa.binary()), ("keys", pa.binary())])
         shingler = Shingler(n, levels.value)
         for b in batches:
             rows, held = [], 0
-            for rep, text, where in zip(b.column(0).to_pylist(), arrow.byte_values(b.column(1)), b.column(2).to_pylist()):
-                keys = np.sort(~shingler.keys(text)).astype(">u8").tobytes()  # common n-grams first
+            for rep, text, where, mine in zip(b.column(0).to_pylist(), arrow.byte_values(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                keys = shingler.keys(text)
+                digest = xxhash.xxh128_digest(keys.tobytes())
+                copies = {c["digest"]: c["rows"] for c in mine}.get(digest)
+                if copies is None:  # another id stands for this text
+                    continue
+                keys = np.sort(~keys).astype(">u8").tobytes()  # common n-grams first
+                leaders = np.unique([g["leader"] for g in where])
                 for g in where:
-                    rows.append((g["leader"], g["i"], g["j"], rep, keys))
-                    held += len(keys)
+                    before = leaders[: np.searchsorted(leaders, g["leader"])].tobytes() if count else b""
+                    rows.append((g["leader"], g["i"], g["j"], g["block"], rep, digest, copies, before, keys))
+                    held += len(keys) + len(before)
                     if held > 8 << 20:
                         yield arrow.batch(schema, *map(list, zip(*rows)))
                         rows, held = [], 0
             if rows:
                 yield arrow.batch(schema, *map(list, zip(*rows)))
 
-    def join(table: pa.Table) -> pa.Table:
-        seats = sorted(set(zip(table.column("keys").to_pylist(), table.column("rep").to_pylist())))
-        tree = PrefixTree([np.frombuffer(k, ">u8").astype(_U) for k, _ in seats], percent)
-        found = [(seats[a][1], seats[b][1]) for a, b in tree.links()]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+    def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        names = ("keys", "rep", "digest", "rows", "block", "before")
+        seats = sorted(set(zip(*(table.column(c).to_pylist() for c in names))))
+        tree = PrefixTree([np.frombuffer(x[0], ">u8").astype(_U) for x in seats], percent)
+        linked = np.zeros(len(seats), np.int64)
+        if count:
+            rows, block = np.array([x[3] for x in seats]), np.array([x[4] for x in seats])
+            before = [np.frombuffer(x[5], np.int64).tolist() for x in seats]
+            with_leader: dict[int, list[int]] = {}
+            for k, leaders in enumerate(before):
+                for x in leaders:
+                    with_leader.setdefault(x, []).append(k)
+            holders = {x: np.array(k) for x, k in with_leader.items() if len(k) > 1}
+            low, high = key[1].as_py(), key[2].as_py()
+
+            def met(k: int, others: np.ndarray) -> None:
+                p, q = np.minimum(block[others], block[k]), np.maximum(block[others], block[k])
+                elsewhere = np.zeros(len(seats), bool)
+                for x in before[k]:
+                    if x in holders:
+                        elsewhere[holders[x]] = True
+                here = others[(p == low) & (q == high) & ~elsewhere[others]]
+                linked[here] += rows[k]
+                linked[k] += rows[here].sum()
+
+            found = tree.links(met)
+        else:
+            found = tree.links()
+        some = np.flatnonzero(linked).tolist()
+        a = [seats[x][1] for x, _ in found] + [None] * len(some)
+        b = [seats[y][1] for _, y in found] + [None] * len(some)
+        digests, counts = [None] * len(found) + [seats[k][2] for k in some], [None] * len(found) + linked[some].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "digest": pa.array(digests, pa.binary()), "links": pa.array(counts, pa.int64())})
 
     # ids that several rows share bring each of their texts
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text")
     # candidates grow with the input, so they are never broadcast: one plan at every size
-    laid = texts.join(wanted.hint("merge"), "rep").select("rep", "text", "groups").mapInArrow(lay_out, "leader long, i int, j int, rep long, keys binary")
-    edges = laid.groupBy("leader", "i", "j").applyInArrow(join, "a long, b long")
+    laid = texts.join(wanted.hint("merge"), "rep").select("rep", "text", "groups", "own").mapInArrow(lay_out, "leader long, i int, j int, block int, rep long, digest binary, rows long, before binary, keys binary")
+    joined = scratch.table(laid.groupBy("leader", "i", "j").applyInArrow(join, "a long, b long, digest binary, links long"), "links")
+    edges = joined.where("a IS NOT NULL").select("a", "b")
     same = useful.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest")
     copies = same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(edges.unionByName(copies))
-    return described.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = described.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
+    if not count:
+        return out.select("doc_id", "n_shingles", "component_id")
+    others = joined.where("digest IS NOT NULL").groupBy("digest").agg(F.sum("links").alias("links"))
+    links = sized.join(others, "digest", "left").select("digest", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("links")).where("links > 0")
+    n_links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0))).cast("long")
+    return out.join(links, "digest", "left").select("doc_id", "n_shingles", "component_id", n_links.alias("n_links"))
 
 
 def drop_near_copies(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, with all their columns, but of each group of near copies only the smallest id's."""
-    groups = near_groups(df, n, percent, id_col, text_col)
+    groups = near_groups(df, n, percent, id_col, text_col, count=False)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")

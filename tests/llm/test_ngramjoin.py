@@ -62,6 +62,19 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [1500, 16])
+def test_counts_all_links(spark, monkeypatch, block):
+    monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    rows = corpus()
+    rows += rows[60:70] + [(rows[k][0], rows[k + 1][1]) for k in range(100, 140)] + [(None, rows[61][1])]  # ids with equal and with different texts
+    sets = [shingles(t) for _, t in rows]
+    alike = lambda x, y: bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+    want = [0 if i is None else sum(k != m and j is not None and alike(sets[k], sets[m]) for m, (j, _) in enumerate(rows)) for k, (i, _) in enumerate(rows)]
+    out = ngramjoin.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.n_links) for r in out) == sorted((i or 0, len(s), w) for (i, _), s, w in zip(rows, sets, want))
+    assert max(want) > 50
+
+
 def test_tree_finds_all_components():
     rng = np.random.default_rng(3)
     for _ in range(30):
