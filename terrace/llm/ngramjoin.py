@@ -272,7 +272,7 @@ def _meet(percent: int, buckets: int):
         leaders, reps, sizes = leaders[order], reps[order], sizes[order]
         at = np.flatnonzero(np.append(True, (reps[1:] != reps[:-1]) | (leaders[1:] != leaders[:-1])))
         times = np.diff(np.append(at, len(reps)))
-        columns = [leaders[at], reps[at], times.astype(np.int32), sizes[at]]
+        columns = [leaders[at], reps[at], times.astype(np.int32), np.minimum.reduceat(sizes, at)]
         with np.errstate(over="ignore"):
             group = ((columns[1].astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(32)) * _U(buckets) >> _U(32)
         order = np.argsort(group, kind="stable")
@@ -293,8 +293,8 @@ def _settle(percent: int):
         order = np.lexsort((leaders, reps))
         leaders, reps, times, sizes = leaders[order], reps[order], times[order], sizes[order]
         start = np.flatnonzero(np.append(True, reps[1:] != reps[:-1]))
-        # the margin of the smallest set that may be alike
-        least = np.maximum(1, percent * sizes[start] // 100 * percent // 100 // 20)
+        # the margin of the smallest set that may be alike to the document's smallest
+        least = np.maximum(1, percent * np.minimum.reduceat(sizes, start) // 100 * percent // 100 // 20)
         keep = np.repeat(np.add.reduceat(times.astype(np.int64), start) >= least, np.diff(np.append(start, len(reps))))
         keep[1:] &= (reps[1:] != reps[:-1]) | (leaders[1:] != leaders[:-1])
         return pa.table({"leader": pa.array(leaders[keep], pa.int64()), "rep": pa.array(reps[keep], pa.int64())})

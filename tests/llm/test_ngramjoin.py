@@ -102,6 +102,20 @@ def test_tree_finds_all_components():
         assert same(label) == same(want)
 
 
+def test_margin_of_the_smallest_set_of_an_id():
+    from terrace.llm.suffixdedup import _pack, _unpack
+
+    def table(columns):
+        return ngramjoin.pa.table({"bucket": [0], "n": [len(columns[0])], "blob": [_pack(columns)]})
+
+    keys, reps, sizes = np.array([5, 5, *[k for k in range(10, 34) for _ in (1, 2)]], np.uint64), np.array([1, 3] + [1, 2] * 24), np.array([10000] * 2 + [100] * 48)
+    met = ngramjoin._meet(80, 1)(table([keys, reps, sizes])).to_pylist()
+    leaders, found, times, least = _unpack(met[0]["blob"], met[0]["n"], ngramjoin._MEETINGS_KINDS)
+    assert dict(zip(found.tolist(), least.tolist())) == {1: 100, 2: 100, 3: 10000}
+    columns = [np.array([1, 1]), np.array([1, 1]), np.array([2, 24], np.int32), np.array([10000, 100])]
+    assert ngramjoin._settle(80)(table(columns)).column("rep").to_pylist() == [1]
+
+
 def test_null_and_shared_ids(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (7, "A b c d e f"), (None, "a b c d e f"), (9, "x y"), (9, None)]
     out = ngramjoin.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
