@@ -24,7 +24,11 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: Opaque tokens have this many characters at least; shorter ones leave the tests no power.
 SHORTEST = 20
-_OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+#: "=" is padding at a token's end and parts names from values elsewhere.
+_PADDING = r"(?:=+(?![A-Za-z0-9+/_=-]))?"
+_OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % SHORTEST + _PADDING)
+#: What "_" and "-" part in a token that no encoding holds because of "+" or "/".
+_PART = re.compile(r"[A-Za-z0-9+/]{%d,}" % SHORTEST + _PADDING)
 #: Lower ends of the length classes, within which false discoveries are controlled.
 CLASSES = (20, 28, 40, 64, 128)
 #: Share of random tokens that the battery may wrongly call structured.
@@ -132,7 +136,10 @@ def opaque_tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
     """(start, end, p) of long tokens that touch no fixed span."""
     if b"x" * SHORTEST not in text.encode("utf-8", "surrogatepass").translate(_TO_CLASS):
         return []
-    spans = [(m.start(), m.end()) for m in _OPAQUE.finditer(text)]
+    spans = []
+    for m in _OPAQUE.finditer(text):
+        mixed = infer_encoding(m[0].rstrip("=")) is None
+        spans += [(x.start(), x.end()) for x in (_PART.finditer(text, m.start(), m.end()) if mixed else (m,))]
     # both lists go by start; ends of fixed spans need not, so their greatest so far is kept
     out, k, reach = [], 0, -1
     for a, b in spans:

@@ -52,6 +52,15 @@ def test_battery_tells_random_from_structured():
     assert secrets.battery("a" * 40) < 1e-6 and secrets.battery("short") == 0.0 and secrets.battery("0123456789" * 4) < 0.01
 
 
+def test_values_after_names_are_tokens():
+    rng = random.Random(3)
+    key = _random_token(rng, secrets.ENCODINGS["base64"], 38) + "+/"
+    for text in (f"AWS_ACCESS_KEY_OF_OURS={key}", f"KEY={key}", f"K={key}== x", f"deploy_key_{key}", key):
+        ends = text.index(key) + len(key) + 2 * ("== x" in text)
+        found = [(a, b) for a, b, p in secrets.opaque_tokens(text, []) if p > 0.01]
+        assert found == [(text.index(key), ends)], text
+
+
 def test_random_tokens_are_found_among_words_and_redacted(spark):
     rng = random.Random(8)
     words = ["internationalconfigurations", "administratordocumentation", "thandheaouingthandheaouing"]
