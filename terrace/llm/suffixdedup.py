@@ -1,32 +1,34 @@
 """Removal of repeated passages by bucket-pointer refinement over sparse suffixes.
 
-A suffix needs sorting only as far as LENGTH bytes, and only where its first
-Q bytes stand in another document too. Level by level:
-
-1. Of the suffixes in each window of LENGTH bytes, the one whose Q-gram
-   hashes lowest stands for the window. Equal windows have equal
-   representatives, so windows of different buckets can't be equal. Windows
-   in a row with one representative form a block.
-2. Q-gram buckets of representatives are refined by the identifier of the
-   whole block. An equal block in a document with a smaller id settles all
-   windows of the block at once. A bucket of one document is done.
-3. Where a bucket holds different blocks, each block's first occurrence is
-   refined window by window: a window's bucket is the triple of its Q-gram
-   buckets at offsets 0, Q and LENGTH - Q, which cover it.
-
-Buckets are told apart by 64-bit hashes rather than by ranks, so that no
-global numbering is needed. Each task settles what it can before it sends
-blocks on: of equal blocks it sends those of the smallest document only.
+Every window of LENGTH bytes is represented by one suffix: of the Q-grams
+that start in it, the one that hashes lowest. Equal windows have equal
+representatives, so windows whose representatives' Q-grams differ can't be
+equal. Windows in a row with one representative form a block.
+
+1. Initial buckets: the Q-grams of representatives. A bucket that lies in
+   one document is done; only the blocks of the others go on, as bytes.
+2. Inside a bucket, equal blocks are settled whole: only one of the smallest
+   document goes on.
+3. Where different blocks are left, all their suffixes are sorted into
+   buckets by their first FIRST bytes, and buckets that hold several
+   documents are refined by the bucket pointers of the suffixes at later
+   offsets. Each level's pointers serve the next, until they cover LENGTH
+   bytes. Windows of one bucket are then equal, and those of other documents
+   than the smallest are removed.
+
+Hashes only choose which blocks meet; whatever is removed has been compared
+byte by byte. A Q-gram that many blocks share is dealt out by the bytes of
+each window instead, so no task gets all its blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,16 @@ from terrace.llm import arrow, scratch
 
 LENGTH, Q = 50, 20
 WINDOW = LENGTH - Q + 1
-#: Bytes hashed at once, and blocks or windows that a task holds before it sends them on.
-CHUNK, FLUSH = 1 << 18, 400_000
+#: Bytes of the first sort's keys, and how many bytes each level of refinement covers.
+FIRST, LEVELS = 8, (16, 32, LENGTH)
+#: Bytes hashed at once; representatives and blocks that a task holds before it sends them on; bytes refined at once.
+CHUNK, FLUSH, HELD, REFINED = 1 << 18, 1_000_000, 300_000, 1 << 19
+#: Bytes of text whose blocks make up one group in memory.
+GROUP = 8 << 20
+#: Blocks with one Q-gram, held by a task at once or in all, from which its windows are dealt one by one.
+HOT, HOT_EVERYWHERE = 16, 1024
+#: Bits of a Q-gram's hash that count.
+BITS = 48
 _U = np.uint64
 _LOWEST = -(1 << 63)
 
@@ -49,7 +59,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class _Hashes:
-    """Rolling hashes of one chunk of bytes."""
+    """Hashes of all Q-grams of one chunk of bytes."""
 
     R = 0x5851F42D4C957F2D
     _up = _down = _byte = None
@@ -64,25 +74,41 @@ class _Hashes:
             self.sums = np.zeros(len(data) + 1, _U)
             np.cumsum(self._byte[data] * self._up[: len(data)], out=self.sums[1:])
 
-    def of(self, start: np.ndarray | slice, stop: np.ndarray | slice, shift: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            x = (self.sums[stop] - self.sums[start]) * shift
-            x ^= x >> _U(32)
-            x *= _U(0xD6E8FEB86659FD93)
-            return x ^ (x >> _U(29))
-
     def grams(self) -> np.ndarray:
         n = len(self.sums) - Q
-        return self.of(slice(0, n), slice(Q, None), self._down[:n]) if n > 0 else np.zeros(0, _U)
+        if n <= 0:
+            return np.zeros(0, _U)
+        with np.errstate(over="ignore"):
+            return _mix((self.sums[Q:] - self.sums[:n]) * self._down[:n])
 
 
-def _join(*parts: np.ndarray) -> np.ndarray:
+def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = np.zeros(len(parts[0]), _U)
-        for p in parts:
-            x = (x ^ p.astype(_U)) * _U(0x9E3779B97F4A7C15)
-            x ^= x >> _U(31)
-        return x
+        x = x ^ (x >> _U(32))
+        x *= _U(0xD6E8FEB86659FD93)
+        return x ^ (x >> _U(29))
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the row before, the first row included."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+#: Bits that tell places in a chunk apart.
+_AT = 19
+
+
+@lru_cache(2)
+def _rank(n: int) -> np.ndarray:
+    """How seldom powers of two divide each place below ``n``, shifted past the places."""
+    if n >> _AT:
+        raise ValueError(f"chunks have fewer than 2**{_AT} bytes")
+    at = np.arange(n, dtype=np.int64)
+    power = np.where(at == 0, 1 << _AT, at & -at)
+    return (_AT - np.log2(power).astype(np.int64)).astype(_U) << _U(_AT)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -94,21 +120,22 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def _chunks(lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _chunks(lengths: np.ndarray, chunk: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Splits documents, end to end, into chunks: first byte, and of each part the document and its bytes.
 
-    Parts of a long document overlap by LENGTH - 1 bytes, so each window is in one of them.
+    Parts of a long document overlap by LENGTH - 1 bytes, so each window is in
+    one of them; where it is split depends on that document alone.
     """
     ends = np.cumsum(lengths)
     docs, sizes, begin, total = [], [], 0, 0
     for d, (n, end) in enumerate(zip(lengths.tolist(), ends.tolist())):
         start = end - n
-        if total and total + n > CHUNK:
+        if total and total + n > chunk:
             yield begin, np.array(docs), np.array(sizes)
             docs, sizes, total = [], [], 0
-        while n > CHUNK:
-            yield start, np.array([d]), np.array([CHUNK])
-            start, n = start + CHUNK - LENGTH + 1, n - CHUNK + LENGTH - 1
+        while n > chunk:
+            yield start, np.array([d]), np.array([chunk])
+            start, n = start + chunk - LENGTH + 1, n - chunk + LENGTH - 1
         if not total:
             begin = start
         docs.append(d)
@@ -118,104 +145,119 @@ def _chunks(lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield begin, np.array(docs), np.array(sizes)
 
 
-def find_blocks(data: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """Of all documents, end to end: bucket, block, document, first window, windows."""
+def find_blocks(data: np.ndarray, lengths: np.ndarray, chunk: int = CHUNK, bits: int = BITS) -> list[np.ndarray]:
+    """Of all documents, end to end: key of the representative's Q-gram, document, first window, windows.
+
+    Keys are ``bits`` bits of a second hash: the representatives' own hashes
+    are all low, being the lowest of their windows. Where a window's lowest
+    Q-gram occurs in it several times, the place that the highest power of two
+    divides stands for it, so runs of one byte make few blocks too.
+    """
     first = np.cumsum(lengths) - lengths
-    out: list[list[np.ndarray]] = [[] for _ in range(5)]
-    for begin, docs, sizes in _chunks(lengths):
+    rank = _rank(chunk)
+    out: list[list[np.ndarray]] = [[] for _ in range(4)]
+    for begin, docs, sizes in _chunks(lengths, chunk):
         part = data[begin : begin + int(sizes.sum())]
         if len(part) < LENGTH:
             continue
-        hashes = _Hashes(part)
-        grams = hashes.grams()
-        keys = (grams >> _U(20) << _U(20)) | np.arange(len(grams), dtype=_U)
-        at = (_sliding_min(keys, WINDOW) & _U((1 << 20) - 1)).astype(np.int64)
+        grams = _Hashes(part).grams()
+        lowest = _sliding_min(grams, WINDOW)
+        place = np.arange(len(part))
+        inside = place - np.repeat(np.cumsum(sizes) - sizes, sizes)  # the document's, wherever it lies
+        ties = rank[inside[: len(grams)]] | place[: len(grams)].astype(_U)
+        at = (_sliding_min((grams >> _U(24) << _U(24)) | ties, WINDOW) & _U((1 << _AT) - 1)).astype(np.int64)
         n = len(at)
-        inside = np.arange(n) + LENGTH <= np.repeat(np.cumsum(sizes), sizes)[:n]
-        windows = np.flatnonzero(inside)
+        windows = np.flatnonzero(inside[:n] + LENGTH <= np.repeat(sizes, sizes)[:n])
         if not len(windows):
             continue
-        at = at[windows]
-        new = np.ones(len(windows), bool)
-        new[1:] = (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)
+        at, lowest = at[windows], lowest[windows]
+        new = _runs(at, lowest, windows - np.arange(len(windows)))
         lo = windows[new]
-        count = np.diff(np.append(np.flatnonzero(new), len(windows)))
-        at = at[new]
+        count = np.diff(np.append(new, len(windows)))
         owner = docs[np.repeat(np.arange(len(sizes)), sizes)[lo]]
-        block = _join(hashes.of(lo, lo + count - 1 + LENGTH, hashes._down[lo]), (at - lo).astype(_U), count.astype(_U))
-        for k, x in enumerate((grams[at], block, owner, begin + lo - first[owner], count)):
+        with np.errstate(over="ignore"):
+            key = _mix(lowest[new] * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits) << _U(64 - bits)
+        for k, x in enumerate((key, owner, begin + lo - first[owner], count)):
             out[k].append(x)
-    kinds = (_U, _U, np.int64, np.int64, np.int64)
-    return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds)]
-
-
-def window_buckets(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Buckets of windows: their Q-gram buckets at three offsets, joined."""
-    out = np.zeros(len(starts), _U)
-    order = np.argsort(starts, kind="stable")
-    ordered = starts[order]
-    for a in range(0, len(text), CHUNK):
-        i, j = np.searchsorted(ordered, [a, a + CHUNK])
-        if i < j:
-            grams = _Hashes(text[a : a + CHUNK + LENGTH]).grams()
-            s = ordered[i:j] - a
-            out[order[i:j]] = _join(grams[s], grams[s + Q], grams[s + LENGTH - Q])
-    return out
-
-
-# What tasks send: numbers of rows by bucket, and settled or asked-for ranges by groups of documents, packed.
-_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("n", pa.int64()), ("blob", pa.binary())])
-_SENT_DDL = "bucket int, kind string, n long, blob binary"
+    return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, (_U, np.int64, np.int64, np.int64))]
+
+
+# What tasks send: packed rows by group. Groups from ``groups`` on hold ranges of documents.
+_SENT = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())])
+_SENT_DDL = "bucket int, n long, blob binary"
 _WHOLE = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("ranges", pa.list_(pa.int64()))])
 _WHOLE_DDL = "id long, mark long, ranges array<long>"
+_ANNOUNCED = [_U, np.int64, np.int64, np.int64, np.uint8]
+_RANGES = [np.int64, np.int64, np.int64]
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
-    """Bytes of like weight side by side, compressed."""
-    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def _pack(columns: list[np.ndarray], rest: bytes = b"") -> bytes:
+    """Bytes of like weight side by side, then ``rest``, compressed."""
+    raw = b"".join([*(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns), rest])
+    return zstandard.ZstdCompressor(level=3 if rest else 1).compress(raw)
 
 
-def _unpack(blob: bytes, n: int, kinds: list) -> list[np.ndarray]:
+def _unpack(blob: bytes, n: int, kinds: list, rest: bool = False) -> list[np.ndarray]:
     raw, out, at = zstandard.ZstdDecompressor().decompress(blob), [], 0
     for kind in map(np.dtype, kinds):
         size = n * kind.itemsize
         out.append(np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n).T.copy().reshape(-1).view(kind))
         at += size
-    return out
+    return [*out, np.frombuffer(raw, np.uint8, -1, at)] if rest else out
+
 
+def _share(key: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each 64-bit key, of which the upper half counts."""
+    return ((key >> _U(32)) * _U(groups) >> _U(32)).astype(np.int64)
 
-_KINDS = [_U, _U, np.int64, np.int64, np.int32, np.uint8]
 
+class _Sender:
+    """Gathers packed rows into batches of bounded size."""
 
-def _code(lo: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return lo.astype(np.int64) * 64 + count
+    def __init__(self):
+        self.rows, self.size = [], 0
 
+    def add(self, bucket: int, n: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+        self.rows.append((bucket, n, blob))
+        self.size += len(blob)
+        if self.size > 4 << 20:
+            yield from self.end()
 
-_RANGE_KINDS = [np.int64, np.int64, np.int64]
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            yield arrow.batch(_SENT, *map(list, zip(*self.rows)))
+            self.rows, self.size = [], 0
 
 
-def _split(bucket: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's rows end, of rows in order of their buckets."""
-    return np.searchsorted(bucket, np.arange(buckets + 1))
+def _deal(group: np.ndarray, columns: list[np.ndarray], base: int = 0, pieces: bytes | None = None, start: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by group, packed for each; with ``pieces``, the bytes of each from its start too (count is the last column)."""
+    sender = _Sender()
+    edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)).tolist() if len(group) else []
+    for lo, hi in zip(edges, edges[1:]):
+        rest = b"" if pieces is None else _cut_out(pieces, start[lo:hi], columns[-1][lo:hi].astype(np.int64) + (LENGTH - 1))
+        yield from sender.add(base + int(group[lo]), hi - lo, _pack([c[lo:hi] for c in columns], rest))
+    yield from sender.end()
 
 
-def _ranges(kind: str, ids: np.ndarray, marks: np.ndarray, codes: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _cut_out(data: bytes, start: np.ndarray, size: np.ndarray) -> bytes:
+    return b"".join([data[a:z] for a, z in zip(start.tolist(), (start + size).tolist())])
+
+
+def _code(lo: np.ndarray, count: np.ndarray, hot: np.ndarray | int = 0) -> np.ndarray:
+    return lo.astype(np.int64) * 128 + count.astype(np.int64) * 2 + hot
+
+
+def _ranges(ids: np.ndarray, marks: np.ndarray, codes: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
     """Ranges by groups of documents, so that their rows are few however many buckets they come from."""
-    if not len(ids):
-        return
-    group = (_join(ids.view(_U), marks.view(_U)) >> _U(32)) * _U(buckets) >> _U(32)
+    with np.errstate(over="ignore"):
+        group = _share(_mix(_mix(ids.astype(np.int64).view(_U)) + marks.astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15)), groups)
     order = np.lexsort((codes, ids, group))
-    ends = _split(group[order].astype(np.int64), buckets)
-    columns = [x[order] for x in (ids, marks, codes)]
-    for b in np.flatnonzero(np.diff(ends)).tolist():
-        lo, hi = int(ends[b]), int(ends[b + 1])
-        yield arrow.batch(_SENT, [b], [kind], [hi - lo], [_pack([x[lo:hi] for x in columns])])
+    yield from _deal(group[order], [x[order] for x in (ids, marks, codes)], groups)
 
 
 def _whole(table: pa.Table) -> pa.Table:
     """One group's ranges by document."""
-    parts = [_unpack(blob.as_py(), n, _RANGE_KINDS) for n, blob in zip(table.column("n").to_pylist(), table.column("blob"))]
+    parts = [_unpack(blob.as_py(), n, _RANGES) for n, blob in zip(table.column("n").to_pylist(), table.column("blob"))]
     ids, marks, codes = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((codes, marks, ids))
     ids, marks, codes = ids[order], marks[order], codes[order]
@@ -226,109 +268,262 @@ def _whole(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([arrow.batch(_WHOLE, ids[at], marks[at], lists)])
 
 
-def _settle(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sorts rows by bucket, block and id, and marks those that follow a smaller id of their block."""
-    order = np.lexsort((columns[2], columns[1], columns[0]))
-    columns = [c[order] for c in columns]
-    same = np.zeros(len(order), bool)
-    same[1:] = (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    return columns, columns[2] > columns[2][head]
+def _announce(groups: int, chunk: int, bits: int):
+    """Announces each block's Q-gram by its group. Frequent Q-grams leave a task once or twice; their blocks are asked for at once."""
+
+    def send(key: np.ndarray, ids: np.ndarray, marks: np.ndarray, lo: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((ids, key))
+        key, ids, marks, lo, count = (c[order] for c in (key, ids, marks, lo, count))
+        start = _runs(key)
+        n = np.diff(np.append(start, len(key)))
+        often = n >= HOT
+        hot = np.repeat(often, n)
+        yield from _ranges(ids[hot], marks[hot], _code(lo[hot], count[hot], 1), groups)
+        # in their place rows of the smallest and the largest id, with a count of 0
+        first, last = start[often], (start + n - 1)[often]
+        rows = np.concatenate([np.flatnonzero(~hot), first, last])
+        count = np.append(count[~hot], np.zeros(2 * len(first), np.int64)).astype(np.uint8)
+        order = np.argsort(key[rows], kind="stable")
+        rows, count = rows[order], count[order]
+        yield from _deal(_share(key[rows], groups), [key[rows], ids[rows], marks[rows], lo[rows], count])
 
-
-def _send(columns: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Settles within the task; packs settled ranges and all other rows."""
-    if not len(columns[0]):
-        return
-    columns, settled = _settle(columns)
-    yield from _ranges("cut", columns[2][settled], columns[3][settled], _code(columns[4][settled], columns[5][settled]), buckets)
-    columns = [c[~settled] for c in columns]
-    ends = _split(((columns[0] >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64), buckets)
-    for b in np.flatnonzero(np.diff(ends)).tolist():
-        lo, hi = int(ends[b]), int(ends[b + 1])
-        yield arrow.batch(_SENT, [b], ["rows"], [hi - lo], [_pack([c[lo:hi].astype(k) for c, k in zip(columns, _KINDS)])])
-
-
-def _block_task(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
             data, offsets = arrow.utf8(b.column(2))
-            bucket, block, owner, lo, count = find_blocks(data, np.diff(offsets))
+            key, owner, lo, count = find_blocks(data, np.diff(offsets), chunk, bits)
             ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
-            held.append([bucket, block, ids[owner], marks[owner], lo, count])
-            size += len(bucket)
+            held.append([key, ids[owner], marks[owner], lo, count])
+            size += len(key)
             if size >= FLUSH:
-                yield from _send([np.concatenate(c) for c in zip(*held)], buckets)
+                columns = [np.concatenate(c) for c in zip(*held)]
                 held, size = [], 0
-        if held:
-            yield from _send([np.concatenate(c) for c in zip(*held)], buckets)
+                yield from send(*columns)
+        if size:
+            yield from send(*[np.concatenate(c) for c in zip(*held)])
 
     return run
 
 
-def _gather(table: pa.Table) -> tuple[list[np.ndarray], pa.Table]:
-    rows = table.filter(pc.equal(table.column("kind"), "rows"))
-    sizes = rows.column("n").to_pylist()
-    out, at = [np.empty(sum(sizes), k) for k in _KINDS], 0
-    for n, blob in zip(sizes, rows.column("blob")):
-        for column, part in zip(out, _unpack(blob.as_py(), n, _KINDS)):
-            column[at : at + n] = part
-        at += n
-    return out, table.filter(pc.equal(table.column("kind"), "cut")).cast(_SENT)
-
-
-def _refine(buckets: int, ask: bool):
-    """One bucket range: settles equal blocks; with ``ask``, asks for the windows of buckets that hold several blocks and documents."""
-
-    def run(table: pa.Table) -> pa.Table:
-        columns, cuts = _gather(table)
-        out = []
-        if len(columns[0]):
-            columns, settled = _settle(columns)
-            codes = _code(columns[4], columns[5])
-            out += _ranges("cut", columns[2][settled], columns[3][settled], codes[settled], buckets)
-            if ask:
-                gram, block, ids, marks = (c[~settled] for c in columns[:4])
-                codes = codes[~settled]
-                start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-                varied = (np.minimum.reduceat(ids, start) < np.maximum.reduceat(ids, start)) & (np.minimum.reduceat(block, start) < np.maximum.reduceat(block, start))
-                asked = np.repeat(varied, np.diff(np.append(start, len(gram))))
-                out += _ranges("ask", ids[asked], marks[asked], codes[asked], buckets)
-        return pa.concat_tables([cuts, pa.Table.from_batches(out, _SENT)])
+def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(list(batches), _SENT)
+
+
+def _shared(groups: int):
+    """Of a group of Q-grams, asks for the blocks of those that several documents hold."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        if key[0].as_py() >= groups:
+            return table
+        parts = [_unpack(blob.as_py(), n, _ANNOUNCED) for n, blob in zip(table.column("n").to_pylist(), table.column("blob"))]
+        grams, ids, marks, lo, count = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(grams, kind="stable")
+        grams, ids, marks, lo, count = (c[order] for c in (grams, ids, marks, lo, count))
+        start = _runs(grams)
+        several = np.minimum.reduceat(ids, start) < np.maximum.reduceat(ids, start)
+        n = np.diff(np.append(start, len(grams)))
+        hot = (np.minimum.reduceat(count, start) == 0) | (n >= HOT_EVERYWHERE)  # alike for all tasks
+        asked = np.repeat(several, n) & (count > 0)
+        return _table(_ranges(ids[asked], marks[asked], _code(lo, count, np.repeat(hot, n))[asked], groups))
 
     return run
 
 
-def _expand(codes: np.ndarray) -> np.ndarray:
-    """All windows of ranges."""
-    lo, count = codes >> 6, codes & 63
-    return np.repeat(lo - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place, as a number."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of words that cover pieces of LENGTH to LENGTH + WINDOW - 1 bytes."""
+    for k in range(0, LENGTH - 7, 8):
+        yield start + k
+    for k in range(8, LENGTH + WINDOW - LENGTH // 8 * 8, 8):
+        yield start + size - k
 
 
-def _window_task(buckets: int):
+def _content(words: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
+    out = size.astype(_U)
+    with np.errstate(over="ignore"):
+        for at in _places(start, size):
+            out = (out ^ words[at]) * _U(0x9E3779B97F4A7C15)
+            out ^= out >> _U(31)
+    return _mix(out) >> _U(64 - bits) << _U(64 - bits)
+
+
+def _settle(data: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of pieces by key, content and id; and which of them, so ordered, equal a piece of a smaller id."""
+    words, size = _words(data), count.astype(np.int64) + (LENGTH - 1)
+    content = _content(words, start, size, min(bits, 64))
+    order = np.lexsort((ids, size, content, key))
+    key, content, size, start, ids = (c[order] for c in (key, content, size, start, ids))
+    heads = _runs(key, content, size)
+    head = np.repeat(heads, np.diff(np.append(heads, len(order))))
+    settled = ids > ids[head]
+    some = np.flatnonzero(settled)
+    if len(some):
+        same = np.ones(len(some), bool)
+        for a, b in zip(_places(start[some], size[some]), _places(start[head[some]], size[some])):
+            same &= words[a] == words[b]
+        settled[some] = same
+    return order, settled
+
+
+_PIECES = [np.uint32, np.int64, np.int64, np.int64, np.uint8]
+
+
+def _send_pieces(groups: int, chunk: int, bits: int):
+    """Sends the blocks that are asked for, as bytes, to their Q-gram's group, those of frequent Q-grams window by window."""
+
+    def send(held: list) -> Iterator[pa.RecordBatch]:
+        raw = b"".join([h[0] for h in held])
+        data = np.frombuffer(raw, np.uint8)
+        key, ids, marks, lo, count, hot = (np.concatenate(c) for c in zip(*(h[1] for h in held)))
+        size = count + LENGTH - 1
+        start = np.cumsum(size) - size
+        order, settled = _settle(data, key, start, count, ids, bits)
+        cut, rest, often = order[settled], order[~settled & ~hot[order]], order[~settled & hot[order]]
+        yield from _ranges(ids[cut], marks[cut], _code(lo[cut], count[cut]), groups)
+        yield from deal(raw, *(c[rest] for c in (key, ids, marks, lo, count, start)))
+        for a in range(0, len(often), 1 << 15):
+            some = often[a : a + (1 << 15)]
+            each = np.repeat(some, count[some])
+            step = np.arange(len(each)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+            yield from windows(raw, data, ids[each], marks[each], lo[each] + step, start[each] + step)
+
+    def windows(raw: bytes, data: np.ndarray, ids: np.ndarray, marks: np.ndarray, lo: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        one = np.ones(len(ids), np.int64)
+        key = _content(_words(data), start, one + (LENGTH - 1), bits)
+        order, settled = _settle(data, key, start, one, ids, bits)
+        cut, rest = order[settled], order[~settled]
+        yield from _ranges(ids[cut], marks[cut], _code(lo[cut], one[cut]), groups)
+        yield from deal(raw, *(c[rest] for c in (key, ids, marks, lo, one, start)))
+
+    def deal(raw: bytes, key: np.ndarray, ids: np.ndarray, marks: np.ndarray, lo: np.ndarray, count: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(key, kind="stable")
+        short = (key[order] >> _U(64 - bits)).astype(np.uint32)
+        yield from _deal(_share(key[order], groups), [short, ids[order], marks[order], lo[order], count[order].astype(np.uint8)], 0, raw, start[order])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
+            if not b.num_rows:
+                continue
             data, offsets = arrow.utf8(b.column(2))
-            for k, (i, mark, codes) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
-                starts = np.unique(_expand(np.array(codes, np.int64)))
-                bucket = window_buckets(data[offsets[k] : offsets[k + 1]], starts)
-                n = len(starts)
-                held.append([bucket, np.zeros(n, _U), np.full(n, i), np.full(n, mark), starts, np.ones(n, np.int64)])
-                size += n
-                if size >= FLUSH:
-                    yield from _send([np.concatenate(c) for c in zip(*held)], buckets)
-                    held, size = [], 0
-        if held:
-            yield from _send([np.concatenate(c) for c in zip(*held)], buckets)
+            lists = b.column(3)
+            codes = lists.flatten().to_numpy()
+            asked = np.repeat(np.arange(len(lists)) << 40, np.diff(lists.offsets.to_numpy())) | (codes >> 7)
+            key, owner, lo, count = find_blocks(data, np.diff(offsets), chunk, bits)
+            at = np.minimum(np.searchsorted(asked, owner << 40 | lo), len(asked) - 1)
+            hit = asked[at] == (owner << 40 | lo)
+            key, owner, lo, count, hot = key[hit], owner[hit], lo[hit], count[hit], (codes[at[hit]] & 1).astype(bool)
+            ids, marks, raw = b.column(0).to_numpy(), b.column(1).to_numpy(), data.tobytes()
+            for a in range(0, len(key), HELD):
+                part = slice(a, a + HELD)
+                pieces = _cut_out(raw, offsets[owner[part]] + lo[part], count[part] + LENGTH - 1)
+                held.append((pieces, [key[part], ids[owner[part]], marks[owner[part]], lo[part], count[part], hot[part]]))
+                size += len(held[-1][1][0])
+                if size >= HELD:
+                    full, held, size = held, [], 0
+                    yield from send(full)
+        if size:
+            yield from send(held)
+
+    return run
+
+
+def refine(text: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket-pointer refinement of the suffixes of pieces that lie end to end.
+
+    Returns place and piece of each window that equals a window of a piece
+    with a smaller id. A suffix's bucket pointer is its bucket's first place
+    in the order found so far. A bucket of one id is done and keeps its
+    pointer.
+    """
+    piece = np.repeat(np.arange(len(size)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(text))
+    owner = ids[piece]
+    pointer = np.full(len(text), -1)
+
+    def number(at: np.ndarray, key: np.ndarray, base: np.ndarray | None) -> np.ndarray:
+        """Sorts suffixes by key, sets their pointers, and returns those whose buckets hold several ids."""
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        heads = _runs(key)
+        n = np.diff(np.append(heads, len(at)))
+        if base is None:
+            first = heads
+        else:  # a bucket's parts number on from its own pointer
+            base = base[order]
+            opening = np.maximum.accumulate(np.where(np.append(True, base[1:] != base[:-1]), np.arange(len(at)), 0))
+            first = (base + np.arange(len(at)) - opening)[heads]
+        pointer[at] = np.repeat(first, n)
+        several = np.minimum.reduceat(owner[at], heads) < np.maximum.reduceat(owner[at], heads)
+        return at[np.repeat(several, n)]
+
+    covered = FIRST
+    active = np.flatnonzero(left >= covered)
+    active = number(active, _words(text)[active], None)
+    for level in LEVELS:
+        active = active[left[active] >= level]
+        if not len(active):
+            return active, active
+        base = pointer[active]
+        # all suffixes at the later offset have pointers of ``covered`` bytes
+        active = number(active, base * len(text) + pointer[active + level - covered], base)
+        covered = level
+    least = np.full(len(text), np.iinfo(np.int64).max)
+    np.minimum.at(least, pointer[active], owner[active])
+    repeated = np.sort(active[owner[active] > least[pointer[active]]])
+    return repeated, piece[repeated]
+
+
+def _refined(groups: int, bits: int):
+    """Settles a group's equal pieces, and refines the suffixes of Q-grams that still hold several documents."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        if key[0].as_py() >= groups:
+            return table
+        parts = [_unpack(blob.as_py(), n, _PIECES, True) for n, blob in zip(table.column("n").to_pylist(), table.column("blob"))]
+        grams, ids, marks, lo, count, data = (np.concatenate(c) for c in zip(*parts))
+        raw = data.tobytes()
+        del parts
+        count = count.astype(np.int64)
+        size = count + LENGTH - 1
+        start = np.cumsum(size) - size
+        order, settled = _settle(data, grams, start, count, ids, bits)
+        cut = order[settled]
+        out = list(_ranges(ids[cut], marks[cut], _code(lo[cut], count[cut]), groups))
+        order = order[~settled]
+        heads = _runs(grams[order])
+        n = np.diff(np.append(heads, len(order)))
+        several = np.minimum.reduceat(ids[order], heads) < np.maximum.reduceat(ids[order], heads)
+        order, n = order[np.repeat(several, n)], n[several]
+        # whole Q-grams at a time, up to REFINED bytes
+        ends = np.cumsum(n)
+        weight = np.cumsum(size[order])[ends - 1] if len(n) else ends
+        turn = _runs(weight // REFINED) if len(n) else np.zeros(0, np.int64)
+        edges = [0, *ends[turn[1:] - 1].tolist(), len(order)] if len(n) else [0]
+        found = []
+        for a, b in zip(edges, edges[1:]):
+            mine = order[a:b]
+            own = size[mine]
+            at, piece = refine(np.frombuffer(_cut_out(raw, start[mine], own), np.uint8), own, ids[mine])
+            if len(at):
+                first = _runs(piece, at - np.arange(len(at)))  # windows in a row
+                where = mine[piece[first]]
+                low = lo[where] + at[first] - (np.cumsum(own) - own)[piece[first]]
+                found.append((ids[where], marks[where], _code(low, np.diff(np.append(first, len(at))))))
+        if found:
+            out += _ranges(*(np.concatenate(c) for c in zip(*found)), groups)
+        return _table(out)
 
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True, chunk: int = CHUNK, bits: int = BITS) -> DataFrame:
     """Removes each byte that a LENGTH-byte string covers which also starts in a document with a smaller id.
 
     Texts are UTF-8 bytes; strings never cross documents and are judged on
@@ -336,26 +531,30 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with ``with_kept`` also removed (array of [start, stop)) and kept (bytes).
     Null texts are empty; texts under LENGTH bytes lose nothing; null ids
     count as one id below all others; rows of one id, whatever their texts,
-    do not shorten each other; only the two named columns are read.
+    do not shorten each other; only the two named columns are read; an empty
+    table gives none. ``chunk`` (bytes hashed at once) and ``bits`` (of
+    hashes, 8 to 64) change the work, not the result.
     """
     spark = df.sparkSession
     scratch.prepare(spark)
-    buckets = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a group of rows is held in memory
     raw = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(_LOWEST)).alias("id")
+    found = raw.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).agg(F.max("n").alias("n"), F.sum("size").alias("size")).first()
+    groups = 1 + (found["size"] or 0) // GROUP  # a group of rows is held in memory
     # Rows of one id differ by their texts' hashes; where ids are unique, a constant does.
-    shared_ids = raw.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    shared_ids = (found["n"] or 0) > 1
     docs = raw.select("doc_id", key, (F.xxhash64("text") if shared_ids else F.lit(0).cast("long")).alias("mark"), "text")
-
-    blocks = docs.select("id", "mark", "text").mapInArrow(_block_task(buckets), _SENT_DDL)
-    first = scratch.table(blocks.groupBy("bucket").applyInArrow(_refine(buckets, True), _SENT_DDL), "blocks")
     whole = lambda marks: marks.groupBy("bucket").applyInArrow(_whole, _WHOLE_DDL)
-    asked = docs.select("id", "mark", "text").join(whole(first.where("kind = 'ask'")), ["id", "mark"])
+
+    announced = docs.select("id", "mark", "text").mapInArrow(_announce(groups, chunk, bits), _SENT_DDL)
+    asked = scratch.table(announced.groupBy("bucket").applyInArrow(_shared(groups), _SENT_DDL), "asked")
+    done = scratch.made[-1:]
+    wanted = docs.select("id", "mark", "text").join(whole(asked), ["id", "mark"])
     if shared_ids:
-        asked = asked.dropDuplicates(["id", "mark"])
-    windows = asked.mapInArrow(_window_task(buckets), _SENT_DDL)
-    second = scratch.table(windows.groupBy("bucket").applyInArrow(_refine(buckets, False), _SENT_DDL), "windows")
-    cuts = whole(first.where("kind = 'cut'").unionByName(second))
+        wanted = wanted.dropDuplicates(["id", "mark"])
+    pieces = wanted.mapInArrow(_send_pieces(groups, chunk, bits), _SENT_DDL)
+    cuts = scratch.table(pieces.groupBy("bucket").applyInArrow(_refined(groups, bits), _SENT_DDL), "cuts")
+    scratch.drop(spark, done)
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -367,11 +566,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc_id, text, codes in zip(b.column(0).to_pylist(), arrow.byte_values(b.column(1)), b.column(2).to_pylist()):
+            for doc_id, text, codes in zip(b.column(0).to_pylist(), arrow.byte_values(b.column(1)), b.column(2)):
                 spans, kept, gone = [], text, 0
-                if codes:
-                    codes = np.unique(np.array(codes, np.int64))
-                    lo, hi = codes >> 6, (codes >> 6) + (codes & 63) - 1 + LENGTH
+                if codes.is_valid:
+                    codes = np.sort(codes.values.to_numpy())
+                    lo, hi = codes >> 7, (codes >> 7) + (codes >> 1 & 63) - 1 + LENGTH
                     hi = np.maximum.accumulate(hi)
                     new = np.append(True, lo[1:] > hi[:-1])
                     starts, stops = lo[new], hi[np.append(np.flatnonzero(new)[1:] - 1, len(hi) - 1)]
@@ -382,4 +581,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if rows:
                 yield arrow.batch(schema, *map(list, zip(*rows)))
 
-    return docs.join(cuts, ["id", "mark"], "left").select("doc_id", "text", "ranges").mapInArrow(cut, ddl)
+    return docs.join(whole(cuts), ["id", "mark"], "left").select("doc_id", "text", "ranges").mapInArrow(cut, ddl)
