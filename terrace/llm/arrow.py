@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,6 +23,16 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def parts(b: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values in a column have ``size`` bytes or so; a longer value makes a slice of its own."""
+    if not b.num_rows:
+        return
+    turn = utf8(b.column(column))[1][:-1] // size
+    edges = [0, *(1 + np.flatnonzero(turn[1:] != turn[:-1])).tolist(), b.num_rows]
+    for lo, hi in zip(edges, edges[1:]):
+        yield b.slice(lo, hi - lo)
+
+
 def byte_values(col: pa.Array) -> list[bytes]:
     """Values as bytes; nulls as empty."""
     data, offs = utf8(col)

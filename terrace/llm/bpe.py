@@ -39,6 +39,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+#: Keys over this length are not remembered, so that entries bound a worker's bytes too.
+LONGEST_KEY = 64
+
+
 class _Memo(dict):
     """Computes what it does not hold; when full, it keeps what has been asked for since the last time."""
 
@@ -47,6 +51,8 @@ class _Memo(dict):
         self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

@@ -11,8 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 _REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Arrays of four megabytes or more go back to the system as soon as a worker is done with them; otherwise workers, which
+#: are used again, grow by what their tasks leave behind.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
+
+
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes and lets Python workers import this package.
+    """Bounds Arrow batches by bytes, lets Python workers import this package and give memory back.
 
     Only settings that the session leaves at their defaults are touched. On a
     cluster whose workers do not see the driver's folder, ship the package
@@ -26,6 +31,8 @@ def prepare(spark: SparkSession) -> None:
         if "maxBytesPerBatch" not in str(e):
             raise
     env = spark.sparkContext.environment
+    for name, value in WORKERS.items():
+        env.setdefault(name, value)
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _REPO not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_REPO, *paths])

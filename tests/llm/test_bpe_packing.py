@@ -88,3 +88,5 @@ def test_memo_keeps_what_is_in_use():
     memo = bpe._Memo(lambda k: made.append(k) or k, size=2)
     assert [memo[k] for k in "abacada"] == list("abacada")
     assert made == list("abcd")
+    long = "z" * (bpe.LONGEST_KEY + 1)
+    assert memo[long] == long and memo[long] == long and made[4:] == [long, long] and long not in memo

@@ -61,6 +61,7 @@ def test_scores_against_dictionaries(spark, order):
 
     rng = random.Random(order)
     texts = ["", None, "A b a B a", " \t\n", "é É é"] + [" ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["new words only here"]
+    texts += [" ".join(rng.choice(["a", "b", f"w{rng.randint(0, 900)}"]) for _ in range(60)) for _ in range(60)] + ["a " * 40_000, "x" * 200_000]
     rows = [(k, t) for k, t in enumerate(texts)] + [(None, "a b c"), (3, "a b c")]
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, score int").repartition(4)
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
@@ -80,22 +81,51 @@ def test_query_scores_by_trigrams(spark, sf_dir):
     np.testing.assert_allclose([got[i] for i in texts], [plain.score(t)[3] for t in texts.values()], rtol=1e-9)
 
 
+def test_word_hashes_tell_words_apart():
+    import random
+
+    rng = random.Random(8)
+    texts = ["", "a", " a", "A  b\tC\n", "é É", "x" * 64, "X" * 65, "y" * 300_000, "z" * 65 + " " + "a" * 1_100_000, " " * 50]
+    texts += ["".join(rng.choice("aB é\t\r\x0b\x0c\x1f") for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["ab c" * 100_000]
+    found, offsets = lm.words.hashes(*lm.arrow.utf8(lm.pa.array(texts)))
+    plain = [[w.lower() for w in WORD.findall(t.encode())] for t in texts]
+    assert np.diff(offsets).tolist() == [len(p) for p in plain]
+    hash_of, word_of = {}, {}
+    for w, h in zip([w for p in plain for w in p], found.tolist()):
+        assert hash_of.setdefault(w, h) == h and word_of.setdefault(h, w) == w
+
+
 def test_blobs_keep_large_sums():
-    columns, sums = [np.array([7, 3, 7], np.uint64)] * 2, [np.array([1, 2, 3]), np.array([5, 1 << 32, 6])]
-    for c in (columns[:1], columns, [np.arange(3, dtype=np.uint64)]):
-        got_c, got_s = lm._unpack(lm._pack(c, sums), 3, len(c), 2)
-        rows = lambda cs, ss: sorted(zip(*(x.tolist() for x in [*cs, *ss])))
-        assert rows(got_c, got_s) == rows(c, sums)
+    columns = [np.array([3, 7, 7, 9], np.uint32), np.array([1, 2, 5, 0], np.uint32), np.array([5, 1 << 32, 6, 1 << 40], np.uint64)]
+    table = lm.pa.Table.from_batches(list(lm._rows("grams", np.array([0, 0, 4, 4]), columns)))
+    assert table.column("bucket").to_pylist() == [0, 4]
+    for got, want in zip(lm._read(table, [np.uint32, np.uint32, np.uint64]), columns):
+        assert (got == want).all()
+
+
+def test_tables_find_what_they_hold(tmp_path):
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 15, 16, 5000):
+        keys = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+        values = [rng.integers(0, 4, n), rng.integers(0, 1 << 40, n)]
+        lm._write_tables(str(tmp_path / "t"), (keys, values), (keys[: n // 2], [values[0][: n // 2]]))
+        both, half = lm._map_tables(str(tmp_path / "t"))
+        mixed = lm._mix(keys, keys)
+        for got, want in zip(both(mixed), values):
+            assert (got == want).all()
+        assert (half(mixed)[0] == np.where(np.arange(n) < n // 2, values[0], 0)).all()
+        absent = rng.integers(0, 1 << 63, 1000, np.uint64) * np.uint64(2) + np.uint64(1)
+        assert not both(lm._mix(absent, absent))[1].any()
 
 
 def test_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(0, "a b a c"), (1, "b a b"), (4, "c c a b")], "doc_id long, text string")
     model = lm.train(df, order=2, modulus=1000, remainder=999)
-    words = [lm._Words()(w) [:1] for w in (b"a", b"b", b"c")] + [np.array([lm.END], np.uint64), lm._Words()(b"unseen")[:1]]
     reader = lm._Reader(model)
-    for history in (b"a", b"b", b"c"):
-        h = lm._mix(np.zeros(1, np.uint64), lm._Words()(history)[:1])
-        assert abs(sum(10 ** reader.score(w, [h])[1][0] for w in words) - 1) < 1e-9
+    words, raw = reader.numbers(lm._words(lm.pa.array(["a b c", "unseen"]))[0][:5])
+    assert raw.tolist() == [4, 4, 3, 3, 0]
+    for history in words[:3]:
+        assert abs(sum(10 ** reader.score([np.full(5, history), words], raw)) - 1) < 1e-9
 
 
 def test_empty_lm(spark):
