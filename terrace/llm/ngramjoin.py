@@ -19,34 +19,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm import arrow, scratch
-from terrace.llm.bpe import _Memo
+from terrace.llm import arrow, scratch, words
 
 #: Counters of words; their number does not depend on the input.
 COUNTERS = 1 << 20
 SLICE = 1 << 14
 #: Documents of a group that one task holds in a tree; larger groups are cut into blocks that meet pairwise.
 BLOCK = 1500
+#: N-grams of all sets whose first elements make up one bucket in memory.
+GROUP = 2_000_000
 _U = np.uint64
 
 
 class Shingler:
     """Sets of texts as sorted 64-bit keys: six bits of rarity level, then the n-gram's hash."""
 
-    def __init__(self, n: int, levels: np.ndarray | None):
-        self.n, self.levels, self.memo = n, levels, _Memo(xxhash.xxh64_intdigest)
+    def __init__(self, n: int, levels: np.ndarray):
+        self.n, self.levels = n, levels
         self.factors = [_U(xxhash.xxh64_intdigest(b"factor %d" % k) | 1) for k in range(n)]
 
-    def words(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()  # A-Z only; splits at the bytes 09 to 0D and 20
-        return np.fromiter(map(self.memo.__getitem__, words), _U, len(words))
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
+        found, offsets = words.hashes(*arrow.utf8(texts))
+        rank = self.levels[(found & _U(COUNTERS - 1)).astype(np.int64)]
+        return [self.keys(found[a:z], rank[a:z]) for a, z in zip(offsets.tolist(), offsets[1:].tolist())]
 
-    def keys(self, text: bytes) -> np.ndarray:
-        w = self.words(text)
+    def keys(self, w: np.ndarray, rank: np.ndarray) -> np.ndarray:
         if not len(w):
             return w
         size = min(self.n, len(w))
-        rank = self.levels[(w & _U(COUNTERS - 1)).astype(np.int64)]
         m = len(w) - size + 1
         level = rank[:m]
         with np.errstate(over="ignore"):
@@ -67,11 +67,10 @@ def word_levels(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
-        shingler, total = Shingler(1, None), np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            for text in arrow.byte_values(b.column(0)):
-                w = shingler.words(text)
-                np.add.at(total, (w & _U(COUNTERS - 1)).astype(np.int64), 1)
+            found, _ = words.hashes(*arrow.utf8(b.column(0)))
+            total += np.bincount((found & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         for k in range(COUNTERS // SLICE):
             part = total[k * SLICE : (k + 1) * SLICE]
             if part.any():
@@ -343,7 +342,6 @@ def near_groups(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc
     """
     spark = df.sparkSession
     scratch.prepare(spark)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(word_levels(docs))  # COUNTERS bytes
 
@@ -351,11 +349,12 @@ def near_groups(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("prefix", pa.binary())])
         shingler = Shingler(n, levels.value)
         for b in batches:
-            sets = [shingler.keys(t) for t in arrow.byte_values(b.column(1))]
+            sets = shingler.sets(b.column(1))
             digests = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield arrow.batch(schema, b.column(0), [len(s) for s in sets], digests, [s[: prefix_length(len(s), percent)].tobytes() if len(s) else None for s in sets])
 
     described = scratch.table(docs.mapInArrow(describe, "doc_id long, n long, digest binary, prefix binary"), "described")
+    buckets = 1 + (described.agg(F.sum("n")).first()[0] or 0) // GROUP
     useful = described.where("doc_id IS NOT NULL AND n > 0")
     sized = useful.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     own = sized.groupBy("rep").agg(F.collect_list(F.struct("digest", "rows")).alias("own"))
@@ -377,8 +376,7 @@ def near_groups(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc
         shingler = Shingler(n, levels.value)
         for b in batches:
             rows, held = [], 0
-            for rep, text, where, mine in zip(b.column(0).to_pylist(), arrow.byte_values(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                keys = shingler.keys(text)
+            for rep, keys, where, mine in zip(b.column(0).to_pylist(), shingler.sets(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 digest = xxhash.xxh128_digest(keys.tobytes())
                 copies = {c["digest"]: c["rows"] for c in mine}.get(digest)
                 if copies is None:  # another id stands for this text
@@ -449,7 +447,13 @@ def near_groups(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc
 
 
 def drop_near_copies(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, but of each group of near copies only the smallest id's."""
+    """The rows of ``df``, with all their columns, but of each group of near copies only the smallest id's.
+
+    Rows without an id, and with null, empty or blank texts, are in no group
+    and stay, as do all rows that share a group's smallest id. Columns may
+    have any names; an empty table stays empty.
+    """
     groups = near_groups(df, n, percent, id_col, text_col, count=False)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    return rows.join(gone, "doc_id", "left_anti").select("row.*")
