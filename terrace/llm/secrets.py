@@ -1,10 +1,19 @@
-"""Secret scans: fixed patterns, and a randomness test battery over opaque tokens."""
+"""Secret scans: fixed patterns, and a randomness test battery over opaque tokens.
+
+The battery gives each token a p-value of being random. What counts as a
+secret is a discovery against the opposite hypothesis, that the token is
+structured: every document's own words and bytes, joined and encoded in the
+ways identifiers are, show how random structured tokens of an encoding and a
+length look, and the share of false ones among the reported is controlled.
+"""
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +40,7 @@ _OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % SHORTEST + _PADDING)
 _PART = re.compile(r"[A-Za-z0-9+/]{%d,}" % SHORTEST + _PADDING)
 #: Lower ends of the length classes, within which false discoveries are controlled.
 CLASSES = (20, 28, 40, 64, 128)
-#: Share of random tokens that the battery may wrongly call structured.
+#: Share of structured tokens among those reported.
 FDR = 0.05
 #: Histogram bins for each tenfold of a p-value, and the smallest exponent told apart.
 BINS, DEEPEST = 20, 40
@@ -52,10 +61,20 @@ ENCODINGS = {
     "base64": _UPPER + _LOWER + _DIGITS + "+/",
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
 }
+#: Encodings of bytes, which the battery decodes. Base64 of short texts often has letters and digits only.
+_BYTES = {"hex": 16, "HEX": 16, "base62": 64, "base64": 64, "base64url": 64}
+_KINDS = tuple(ENCODINGS)
+#: Words that stand by themselves.
+_PROSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][a-z]+(?![A-Za-z0-9+/_=-])")
 _SETS = {k: frozenset(v) for k, v in ENCODINGS.items()}
 _PLACE = {k: {c: i for i, c in enumerate(v)} for k, v in ENCODINGS.items()}
 
 
+_CLASS = {c: k for k, s in (("d", _DIGITS), ("u", _UPPER), ("l", _LOWER), ("s", "+/-_")) for c in s}
+#: Shares of digits, capitals, small letters and signs in each alphabet.
+_CLASSES = {k: {c: n / len(v) for c, n in Counter(_CLASS[x] for x in v).items()} for k, v in ENCODINGS.items()}
+
+
 def infer_encoding(token: str) -> str | None:
     symbols = set(token)
     return next((k for k, s in _SETS.items() if symbols <= s), None)
@@ -69,13 +88,20 @@ def _chi2_tail(x: float, dof: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _decoded(body: str, kind: str) -> bytes:
+    if _BYTES[kind] == 16:
+        return bytes.fromhex(body[: len(body) // 2 * 2])
+    return base64.b64decode(body[: len(body) // 4 * 4].replace("-", "+").replace("_", "/"))
+
+
 def battery(token: str) -> float:
     """Combined p-value of "symbols are drawn evenly and independently from the inferred encoding".
 
     Chi-squared of symbol counts and of character-class counts (the worse of
     both, doubled), a runs test of indices above and below the alphabet's
-    middle, and lag-1 serial correlation, joined by Fisher's method. 0 where
-    no encoding fits.
+    middle, lag-1 serial correlation and, for encodings of bytes, chi-squared
+    of the decoded bytes' highest bits, joined by Fisher's method. 0 where no
+    encoding fits.
     """
     body = token.rstrip("=")
     kind = infer_encoding(body)
@@ -87,14 +113,12 @@ def battery(token: str) -> float:
     counts = Counter(body)
     even = n / k
     chi = sum((c - even) ** 2 for c in counts.values()) / even + (k - len(counts)) * even
-    by_class, expected = Counter(), Counter()
-    klass = lambda c: "d" if c in _DIGITS else "u" if c in _UPPER else "l" if c in _LOWER else "s"
+    classes = _CLASSES[kind]
+    by_class = dict.fromkeys(classes, 0)
     for c, m in counts.items():
-        by_class[klass(c)] += m
-    for c in alphabet:
-        expected[klass(c)] += n / k
-    chi_class = sum((by_class[c] - e) ** 2 / e for c, e in expected.items())
-    p_even = min(1.0, 2 * min(_chi2_tail(chi, k - 1), _chi2_tail(chi_class, len(expected) - 1) if len(expected) > 1 else 1.0))
+        by_class[_CLASS[c]] += m
+    chi_class = sum((by_class[c] - n * share) ** 2 / (n * share) for c, share in classes.items())
+    p_even = min(1.0, 2 * min(_chi2_tail(chi, k - 1), _chi2_tail(chi_class, len(classes) - 1) if len(classes) > 1 else 1.0))
     place = _PLACE[kind]
     at = [place[c] for c in body]
     high = [2 * i >= k for i in at]
@@ -114,8 +138,57 @@ def battery(token: str) -> float:
         p_serial = math.erfc(abs(r) * math.sqrt(n / 2))
     else:
         p_serial = 2.0 ** (1 - n)
-    half = -sum(math.log(max(p, 1e-300)) for p in (p_even, p_runs, p_serial))
-    return math.exp(-half) * (1 + half + half * half / 2)
+    tests = [p_even, p_runs, p_serial]
+    if kind in _BYTES:
+        raw = _decoded(body, kind)
+        bits = sum(b >> 7 for b in raw)
+        tests.append(_chi2_tail((2 * bits - len(raw)) ** 2 / len(raw), 1))
+    half = -sum(math.log(max(p, 1e-300)) for p in tests)
+    return math.exp(-half) * sum(half**i / math.factorial(i) for i in range(len(tests)))
+
+
+def structured(text: str) -> list[str]:
+    """Tokens as programs and people make them of words, numbers and bytes: one of each kind, from a text's own.
+
+    Where they start, and which of the length classes each has, follows from
+    the text's checksum. Texts of fewer than four words give none.
+    """
+    words = _PROSE.findall(text)
+    if len(words) < 4:
+        return []
+    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    first = seed % len(words)
+
+    def size(kind: int) -> int:
+        low = CLASSES[(seed >> 4) % len(CLASSES) - kind % len(CLASSES)]
+        return low + (seed >> 8) % (low // 4 + 1)
+
+    def take(kind: int, shape, joint: str = "") -> str:
+        n, out, k = size(kind), "", 0
+        while len(out) < n:
+            out += (joint if out else "") + shape(words[(first + k) % len(words)], k)
+            k += 1
+        return out[:n].rstrip("-_")
+
+    def raw(n: int) -> bytes:
+        return take(0, lambda w, k: w, " ").encode().ljust(n, b" ")[:n] if n <= size(0) else (" ".join(words[first:] + words[:first]) * (1 + n // 8)).encode()[:n]
+
+    number = lambda k: str(1900 + (seed + 37 * k) % 200)
+    return [
+        take(0, lambda w, k: w.lower()),
+        take(1, lambda w, k: w.lower() if not k else w.title()),
+        take(2, lambda w, k: w.title() + (number(k) if k % 2 else "")),
+        take(3, lambda w, k: w.lower() + (number(k) if k % 3 == 2 else ""), "_"),
+        take(4, lambda w, k: w.title() if k % 2 else w.lower(), "-"),
+        take(5, lambda w, k: w.upper() + (number(k) if k % 3 == 2 else "")),
+        base64.b64encode(raw(size(6)))[: size(6)].decode(),
+        base64.b64encode(raw(size(7) // 4 * 3)).decode(),
+        raw(size(8) // 2 + 1).hex()[: size(8)],
+        raw(size(9) // 2 + 1).hex().upper()[: size(9)],
+        take(0, lambda w, k: w.lower() + (number(k) if k % 2 else "")),
+        take(1, lambda w, k: w.lower() if k % 3 else w.title(), "/"),
+        take(2, lambda w, k: w.upper()),
+    ]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -159,39 +232,68 @@ def _bin(p: float) -> int:
     return min(DEEPEST * BINS, int(-math.log10(p) * BINS)) if p > 0 else DEEPEST * BINS
 
 
-def thresholds(docs: DataFrame, fdr: float = FDR) -> list[float]:
-    """Of each length class, the p-value up to which tokens count as structured.
+def _cell(token: str) -> tuple[int, int]:
+    """Length class and number of the encoding; the one past the last where none fits, or for digits alone."""
+    kind = infer_encoding(token.rstrip("="))
+    return length_class(len(token)), _KINDS.index(kind) if kind not in (None, "decimal") else len(_KINDS)
+
+
+def discoveries(found: list[tuple[int, int, int, int]], null: list[tuple[int, int, int, int]], fdr: float) -> dict[tuple[int, int], int]:
+    """Of each length class and encoding, the last bin whose tokens are reported.
 
-    Benjamini and Hochberg's step-up rule over the p-values of all tokens of
-    the class, from their histogram: its size does not depend on the input.
+    Rows are class, encoding, bin, number. A token's p-value under "it is
+    structured" is the share of structured tokens of its class and encoding
+    that look as random; Benjamini and Hochberg's step-up rule goes over all
+    tokens of a class.
     """
+    out: dict[tuple[int, int], int] = {}
+    for klass in {r[0] for r in found}:
+        mine = Counter()
+        for k, kind, at, n in found:
+            if k == klass:
+                mine[kind, at] += n
+        share = {}
+        for kind in {kind for kind, _ in mine if kind < len(_KINDS)}:
+            base = sorted((at, n) for k, x, at, n in null if k == klass and x == kind)
+            total = sum(n for _, n in base)
+            for at in sorted(a for x, a in mine if x == kind):
+                share[kind, at] = (1 + sum(n for a, n in base if a <= at)) / (1 + total)
+        total, seen, limit = sum(mine.values()), 0, -1.0
+        ranked = sorted(share.items(), key=lambda x: x[1])
+        for k, (cell, p) in enumerate(ranked):
+            seen += mine[cell]
+            if (k + 1 == len(ranked) or ranked[k + 1][1] > p) and p <= fdr * seen / total:
+                limit = p
+        for (kind, at), p in share.items():
+            if p <= limit:
+                out[klass, kind] = max(at, out.get((klass, kind), -1))
+    return out
+
+
+def thresholds(docs: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], int]:
+    """``discoveries`` over all documents' tokens and structured tokens, from histograms whose size does not depend on the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("klass", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
+        schema = pa.schema([("real", pa.bool_()), ("klass", pa.int32()), ("kind", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
         counts: Counter = Counter()
         for b in batches:
             for text in arrow.strings(b.column(0)):
                 for s, e, p in opaque_tokens(text, base_spans(text)):
-                    counts[length_class(e - s), _bin(p)] += 1
+                    counts[(True, *_cell(text[s:e]), _bin(p))] += 1
+                for token in structured(text):
+                    if len(token) >= SHORTEST:
+                        counts[(False, *_cell(token), _bin(battery(token)))] += 1
         if counts:
-            yield arrow.batch(schema, [k for k, _ in counts], [v for _, v in counts], list(counts.values()))
-
-    rows = docs.select("text").mapInArrow(run, "klass int, bin int, n long").groupBy("klass", "bin").agg(F.sum("n").alias("n")).collect()
-    out = [0.0] * len(CLASSES)
-    for k in range(len(CLASSES)):
-        mine = sorted(((r["bin"], r["n"]) for r in rows if r["klass"] == k), reverse=True)
-        total, seen = sum(n for _, n in mine), 0
-        for at, n in mine:
-            seen += n
-            upper = 10 ** (-at / BINS)
-            if upper <= seen * fdr / total:
-                out[k] = upper
-    return out
+            yield arrow.batch(schema, *map(list, zip(*counts)), list(counts.values()))
+
+    rows = docs.select("text").mapInArrow(run, "real boolean, klass int, kind int, bin int, n long").groupBy("real", "klass", "kind", "bin").agg(F.sum("n").alias("n")).collect()
+    split = lambda real: [(r["klass"], r["kind"], r["bin"], r["n"]) for r in rows if r["real"] == real]
+    return discoveries(split(True), split(False), fdr)
 
 
-def all_spans(text: str, limits: list[float]) -> list[tuple[int, int, int]]:
+def all_spans(text: str, limits: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
     base = base_spans(text)
-    extra = [(a, b, 3) for a, b, p in opaque_tokens(text, base) if p > max(limits[length_class(b - a)], 10 ** -(DEEPEST - 1))]
+    extra = [(a, b, 3) for a, b, p in opaque_tokens(text, base) if _bin(p) <= limits.get(_cell(text[a:b]), -1)]
     return sorted(base + extra, key=lambda s: (s[0], s[2])) if extra else base
 
 
@@ -203,11 +305,13 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: flo
     """Spans of secrets: doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans.
 
     Positions are code points, ends exclusive. Fixed patterns always count. A
-    long opaque token that touches none of them counts when the battery does
-    not call it structured at the false-discovery rate ``fdr`` within its
-    length class. Null and empty texts have no spans. Rows pass one by one,
-    whatever their ids; only the two named columns are read. Two narrow
-    passes over the texts, and between them a histogram of fixed size.
+    long opaque token that touches none of them counts when it looks more
+    random than structured tokens do, at the false-discovery rate ``fdr``
+    within its length class. Digits alone never count: numbers look random.
+    Null and empty texts have no spans; an empty table gives none. Rows pass
+    one by one, whatever their ids, repeated ones alike; only the two named
+    columns are read. Two narrow passes over the texts, and between them
+    histograms of fixed size.
     """
     scratch.prepare(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -227,8 +331,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: flo
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
     """``df`` with every secret in ``text_col`` replaced by ``mark``; overlapping spans become one.
 
-    All other columns, and rows without secrets, stay as they are; null texts
-    stay null.
+    All other columns, whatever their names, and rows without secrets stay as
+    they are; null texts stay null, empty ones empty; repeated rows change
+    alike; an empty table stays empty.
     """
     scratch.prepare(df.sparkSession)
     limits = thresholds(df.select(F.col(text_col).cast("string").alias("text")), fdr)

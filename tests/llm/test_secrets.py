@@ -52,6 +52,60 @@ def test_battery_tells_random_from_structured():
     assert secrets.battery("a" * 40) < 1e-6 and secrets.battery("short") == 0.0 and secrets.battery("0123456789" * 4) < 0.01
 
 
+def test_reported_tokens_are_random(spark):
+    """Precision of each encoding: of random keys most are reported, of structured tokens few."""
+    import base64
+    import uuid
+
+    rng = random.Random(12)
+    syllables = ["con", "fi", "gu", "ra", "tion", "ser", "vice", "man", "age", "re", "port", "in", "ter", "na", "ment", "doc", "u", "val", "id"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    camel = lambda: word() + "".join(word().title() for _ in range(4))
+    make = {
+        "random base62": lambda: _random_token(rng, secrets.ENCODINGS["base62"], 40),
+        "random base64": lambda: _random_token(rng, secrets.ENCODINGS["base64"], 44),
+        "random base64url": lambda: _random_token(rng, secrets.ENCODINGS["base64url"], 43),
+        "random HEX": lambda: _random_token(rng, secrets.ENCODINGS["HEX"], 40),
+        "camel": camel,
+        "snake": lambda: "_".join(word() for _ in range(5)),
+        "path": lambda: "/".join(word() for _ in range(5)),
+        "prose in base64": lambda: base64.b64encode(prose(6).encode()).decode().rstrip("="),
+        "prose in HEX": lambda: prose(4).encode().hex().upper(),
+        "digits": lambda: "978" + _random_token(rng, "0123456789", 23),
+        "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128))),
+    }
+    rows, kind = [], {}
+    for k in range(2200):
+        name = list(make)[k % len(make)] if k % 2 else list(make)[4 + k % 7]
+        token = make[name]()
+        rows.append((k, f"{prose(40)} {token} {prose(10)}"))
+        kind[k] = name
+    out = {r.doc_id: r.n_random for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    share = {n: [out[k] > 0 for k in out if kind[k] == n] for n in make}
+    wrong = sum(sum(x) for n, x in share.items() if not n.startswith("random"))
+    right = sum(sum(x) for n, x in share.items() if n.startswith("random"))
+    assert wrong <= 0.1 * (wrong + right), share
+    for n, x in share.items():
+        if n.startswith("random"):
+            assert sum(x) >= 0.8 * len(x), (n, sum(x), len(x))
+
+
+def test_discoveries_are_controlled_within_classes():
+    base62 = secrets._KINDS.index("base62")
+    null = [(1, base62, at, 10) for at in range(20, 120)] + [(1, base62, 3, 1)]
+    found = [(1, base62, 1, 5), (1, base62, 2, 5), (1, base62, 60, 20), (2, base62, 1, 5)]
+    assert secrets.discoveries(found, null, 0.05) == {(1, base62): 2}
+    assert secrets.discoveries(found, null, 1e-9) == {} and secrets.discoveries([], null, 0.05) == {}
+
+
+def test_structured_tokens_come_from_the_text():
+    text = "The quick brown fox jumps over lazy dogs and runs"
+    tokens = secrets.structured(text)
+    assert tokens == secrets.structured(text) and secrets.structured("one two") == [] and secrets.structured("") == []
+    assert {secrets.infer_encoding(t) for t in tokens} >= {"base62", "base64url", "base64", "hex", "HEX"} and max(map(len, tokens)) < 200
+
+
 def test_values_after_names_are_tokens():
     rng = random.Random(3)
     key = _random_token(rng, secrets.ENCODINGS["base64"], 38) + "+/"
@@ -64,8 +118,9 @@ def test_values_after_names_are_tokens():
 def test_random_tokens_are_found_among_words_and_redacted(spark):
     rng = random.Random(8)
     words = ["internationalconfigurations", "administratordocumentation", "thandheaouingthandheaouing"]
+    pool = "what follows comes from a letter that nobody has read since winter began there".split()
     keys = [_random_token(rng, secrets.ENCODINGS["base62"], 40) for _ in range(40)]
-    rows = [(k, f"see {key} here token=abcdefgh1", None) for k, key in enumerate(keys)] + [(100 + k, f"plain {rng.choice(words)} text", None) for k in range(200)] + [(500, None, "x")]
+    rows = [(k, f"see {key} here token=abcdefgh1 {' '.join(rng.sample(pool, 9))}", None) for k, key in enumerate(keys)] + [(100 + k, f"plain {rng.choice(words)} text {' '.join(rng.sample(pool, 9))}", None) for k in range(200)] + [(500, None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, other string")
     out = {r.doc_id: r for r in secrets.scan(df).collect()}
     assert sum(out[k].n_random for k in range(40)) >= 36
