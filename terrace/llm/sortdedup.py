@@ -74,27 +74,64 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ordered = dealt.sortWithinPartitions(F.col("prefix"), F.col("digest"), F.col("doc_id").desc_nulls_last())
     runs = ordered.select("doc_id", "digest", "body").mapInArrow(_neighbours, "doc_id long, keep_id long, group_size long, text_sha256 string, head boolean, edge boolean")
     runs = scratch.table(runs, "content-runs")
-    whole = runs.where("edge and head").groupBy(F.col("text_sha256").alias("_sha")).agg(F.max("keep_id").alias("_keep"), F.sum("group_size").alias("_size"))
-    # Two rows for each partition at most: a bound that the number of partitions sets.
-    out = runs.join(F.broadcast(whole), F.col("edge") & (F.col("text_sha256") == F.col("_sha")), "left")
-    keep, size = F.when(F.col("_sha").isNotNull(), F.col("_keep")).otherwise(F.col("keep_id")), F.coalesce("_size", "group_size")
-    return out.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), (F.col("head") & F.col("keep_id").eqNullSafe(keep)).alias("kept"), "text_sha256")
+    whole = runs.where("edge and head").groupBy("text_sha256").agg(F.max("keep_id").alias("keep"), F.sum("group_size").alias("size"))
+    columns = ["doc_id", "keep_id", "group_size", (F.col("head") & F.col("keep_id").eqNullSafe(F.col("own"))).alias("kept"), "text_sha256"]
+    edges = runs.where("edge").withColumnRenamed("keep_id", "own").join(whole, "text_sha256")
+    edges = edges.select("doc_id", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "head", "own", "text_sha256")
+    return runs.where("not edge").withColumn("own", F.col("keep_id")).select(columns).unionByName(edges.select(columns))
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows in content order: the first of each run, with a digest where the run touches an edge of its partition."""
+    body = held = None  # of the last run: its text, and its first row as a batch of one
+    first = True
+
+    def rows(b: pa.RecordBatch, at: list[int], edges: list[bytes | None]) -> pa.RecordBatch:
+        schema = pa.schema([b.schema.field(0), b.schema.field(1), pa.field("edge", pa.binary())])
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64())), pa.array(edges, pa.binary())], schema=schema)
+
+    for b in batches:
+        bodies = [x.lower() for x in arrow.byte_values(b.column(2))]
+        new = [k for k, x in enumerate(bodies) if x != (bodies[k - 1] if k else body)]
+        if not new:
+            continue
+        if held is not None:
+            yield rows(held, [0], [hashlib.sha256(body).digest() if first else None])
+            first = False
+        if len(new) > 1:
+            yield rows(b, new[:-1], [hashlib.sha256(bodies[k]).digest() if first and k == new[0] else None for k in new[:-1]])
+            first = False
+        body, held = bodies[new[-1]], b.slice(new[-1], 1)
+    if held is not None:
+        yield rows(held, [0], [hashlib.sha256(body).digest()])
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, with all their columns, that ``content_sort_dedup`` keeps.
 
-    Ids may repeat or be null: a row is told by id and digest together, and of
-    rows that share both, one stays.
+    One range shuffle carries whole rows. In content order the first row of a
+    run of equal texts has its largest id; of runs that touch an edge of
+    their partition, two for each partition at most, those with a larger or
+    equal id before them go, by digest. Null ids are smaller than all others;
+    of rows that share text and id, one stays. Null texts count as empty.
+    Columns may have any names; an empty table stays empty.
     """
-    kept = content_sort_dedup(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
+    spark = df.sparkSession
+    scratch.prepare(spark)
+    text = F.col(f"`{text_col}`").cast("string")
 
-    @F.pandas_udf("string")
-    def digest(texts):
+    @F.pandas_udf("prefix binary, digest binary")
+    def keys(texts):
         import pandas as pd
 
-        return pd.Series([hashlib.sha256((t or "").encode("utf-8", "surrogatepass").lower()).hexdigest() for t in texts], dtype=object)
-
-    rows = df.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_sha": digest(F.col(text_col).cast("string"))})
-    same = F.col("_row_id").eqNullSafe(F.col("_keep_id")) & (F.col("_row_sha") == F.col("_keep_sha"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["_row_id", "_row_sha"]).drop("_row_id", "_row_sha")
+        bodies = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+        return pd.DataFrame({"prefix": [x[:PREFIX] for x in bodies], "digest": [hashlib.sha256(x).digest() for x in bodies]})
+
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), keys(text).alias("key"))
+    order = [F.col("key.prefix"), F.col("key.digest"), F.col("id").desc_nulls_last()]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "id", "text")
+    out = ordered.select("row", "id").schema.add("edge", "binary")
+    heads = scratch.table(ordered.mapInArrow(_heads, out), "content-heads")
+    ranked = heads.where("edge IS NOT NULL").withColumn("place", F.struct(F.col("id").isNotNull(), F.col("id"), F.monotonically_increasing_id()))
+    best = ranked.groupBy("edge").agg(F.max_by("row", "place").alias("row"))
+    return heads.where("edge IS NULL").select("row.*").unionByName(best.select("row.*"))
