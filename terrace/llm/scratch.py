@@ -39,10 +39,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and there is no cluster."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="terrace-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/scratch-{sc.applicationId}"

@@ -95,7 +95,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
 def grade(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Severity 0, 1 or 2: toxic rows whose share of telling features is at least the toxic median are 2.
 
-    A feature tells where it occurs in toxic rows at ten times its rate in others.
+    Labels know toxic and not; the second threshold is derived from the same
+    texts, so p_severe orders texts by how much of them is telling and is no
+    judgement of its own. A feature tells where it occurs in toxic rows at ten times its rate in others.
     """
     doc_count = [np.bincount(np.concatenate([np.unique(r) for r, t in zip(rows, toxic) if t == k] or [np.zeros(0, np.int64)]), minlength=WIDTH) for k in (0, 1)]
     rate = [(c + 0.5) / (np.sum(toxic == k) + 1) for k, c in enumerate(doc_count)]
@@ -108,7 +110,14 @@ def grade(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
-    """Fits on ``sample`` labelled documents at most; their features, not their texts, reach the driver."""
+    """Fits on ``sample`` labelled documents at most; their features, not their texts, reach the driver.
+
+    Labels without an id or a grade are left out; of several labels of an id
+    the highest counts. Of rows that share an id, the one whose features sort
+    first counts; null and empty texts have no features; texts are read whole,
+    whatever their length. Without labels, or without documents, the model
+    calls nothing toxic.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id IS NOT NULL AND _toxic IS NOT NULL")
     picked = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # ``sample`` rows of two numbers each: a fixed bound.
@@ -120,9 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
             at = [np.array(sorted(f for w in distinct_words(t) for f in word_features(w)), "<u4").tobytes() for t in arrow.strings(b.column(1))]
             yield arrow.batch(schema, b.column(0), b.column(2), at)
 
-    got = texts.select("_id", "text", "_toxic").mapInArrow(features, "id long, toxic int, at binary").collect()
-    got = sorted(got, key=lambda r: (r["id"], bytes(r["at"])))[:sample]
-    rows = [np.frombuffer(r["at"], "<u4").astype(np.int64) for r in got]
+    found = texts.select("_id", "text", "_toxic").mapInArrow(features, "id long, toxic int, at binary")
+    # one row for each of ``sample`` ids at most
+    got = sorted(found.groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("at").alias("at")).collect(), key=lambda r: r["id"])
+    rows = [np.frombuffer(r["at"], "<u4") for r in got]
     toxic = np.array([min(1, r["toxic"]) for r in got], np.int64)
     return fit(rows, grade(rows, toxic), 3)
 
@@ -183,7 +193,11 @@ def rate(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: s
 
 
 def drop_toxic(df: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, that ``rate`` does not call toxic."""
+    """The rows of ``df``, with all their columns, that ``rate`` does not call toxic.
+
+    Null and empty texts, null and repeated ids and columns of any names are
+    as in ``rate``; an empty table stays empty.
+    """
     spark = df.sparkSession
     scratch.prepare(spark)
     shared = _share(spark, model)

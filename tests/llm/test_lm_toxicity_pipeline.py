@@ -196,9 +196,95 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "secret_scan", "packing"]
 
 
-def test_stages_keep_extra_columns_and_odd_rows(spark):
-    rows = [(1, "A b", "x", 3), (2, "a B", "y", 3), (None, "a b", "z", 1), (None, None, "n", None), (4, "", "e", 0), (4, "", "e", 0), (5, "solo text", "s", 9)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_chars long")
+def test_training_reads_one_row_of_each_id(spark):
+    docs = spark.range(3000).selectExpr("cast(1 as long) as doc_id", "case when id % 2 = 0 then 'a fine day' else 'zz idiot' end as text").unionByName(spark.createDataFrame([(2, "a good day")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    once = toxicity.train(docs.where("text <> 'zz idiot'").dropDuplicates(), labels)
+    again = toxicity.train(docs, labels)
+    assert np.allclose(once.weights, again.weights) and np.allclose(once.cuts, again.cuts)
+
+
+def test_fit_maximises_the_likelihood():
+    rng = np.random.default_rng(3)
+    grades = rng.integers(0, 3, 200)
+    rows = [np.array(sorted({5} if g == 0 and rng.random() < 0.3 else {5, 6} if g == 1 else {6, 7} if rng.random() < 0.8 else {5, 7})) for g in grades]
+    model = toxicity.fit(rows, grades, 3, steps=4000, rate=0.02)
+    used = np.flatnonzero(model.weights)
+
+    def loss(w, cuts):
+        score = np.array([sum(w[k] for k, f in enumerate(used) if f in r) for r in rows])
+        edges = np.concatenate([[-np.inf], cuts, [np.inf]])
+        above = 1 / (1 + np.exp(-(score[:, None] - edges[None, :])))
+        p = above[np.arange(len(rows)), grades] - above[np.arange(len(rows)), grades + 1]
+        return -np.log(p).mean() + 1e-4 * (w @ w) / 2
+
+    w, cuts = model.weights[used], model.cuts
+    best = loss(w, cuts)
+    for _ in range(300):
+        assert loss(w + rng.normal(0, 0.02, len(w)), cuts + rng.normal(0, 0.02, 2)) >= best - 1e-6
+
+
+ODD = [(1, "A b", "x", 3), (2, "a B", "y", 3), (None, "a b", "z", 1), (None, None, "n", None), (4, "", "e", 0), (4, "", "e", 0), (5, "solo text", "s", 9), (6, "long " * 50_000, "l", 1)]
+
+
+def test_drop_copies_keeps_extra_columns_and_odd_rows(spark):
+    df = spark.createDataFrame([(*r, r[3]) for r in ODD], "doc_id long, text string, row string, n_chars long, edge long")
     out = sortdedup.drop_copies(df)
     assert out.columns == df.columns
-    assert sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == [(2, "a B"), (4, ""), (5, "solo text")]
+    assert sorted((r.doc_id or -1, (r.text or "")[:9], r.row) for r in out.collect()) == [(2, "a B", "y"), (4, "", "e"), (5, "solo text", "s"), (6, "long long", "l")]
+    assert sortdedup.drop_copies(df.limit(0)).count() == 0
+
+
+def test_drop_copies_over_many_partitions(spark):
+    rows = [(k, f"Text {k % 7}" if k % 3 else "HOT" if k % 2 else "hot") for k in range(900)] + [(3, "text 1"), (None, "hot"), (899, "TEXT 3")]
+    last = {}
+    for i, t in rows:
+        last[t.lower()] = max(last.get(t.lower(), -1), -1 if i is None else i)
+    for n in (1, 30):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got = sorted((r.text.lower(), r.doc_id) for r in sortdedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert got == sorted(last.items())
+
+
+def test_drop_near_copies_odd_rows(spark):
+    from terrace.llm import ngramjoin
+
+    rows = [(3, "a b c d e f", "x"), (2, "A b c d e f", "y"), (2, "other words stand here now", "z"), (None, "a b c d e f", "n"), (7, None, "q"), (7, None, "q"), (8, "", "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    out = ngramjoin.drop_near_copies(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or -1, r.component_id) for r in out.collect()) == [(-1, "n"), (2, "y"), (2, "z"), (7, "q"), (7, "q"), (8, "r")]
+    assert ngramjoin.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_packing_and_secrets_take_odd_rows(spark):
+    df = spark.createDataFrame([(*r, r[0]) for r in ODD], "doc_id long, text string, part string, n long, local long")
+    pieces = packing.pack(df, queries.tokenizer_path(), size=64, with_ids=False).collect()
+    by = Counter()
+    for p in pieces:
+        by[p.doc_id] += p.length
+    vocab = packing.bpe.vocabulary(queries.tokenizer_path())
+    want = Counter()
+    for i, t, *_ in ODD:
+        want[i] += len(vocab.encode(t or "")) + 1
+    assert by == want
+    out = secrets.redact(df)
+    assert out.columns == df.columns and sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == sorted((i or -1, t or "") for i, t, *_ in ODD)
+    assert secrets.redact(df.limit(0)).count() == 0
+
+
+def test_pipeline_takes_odd_rows_and_runs_again(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for name, n in (("odd", None), ("empty", 0)):
+        df = spark.createDataFrame([(i, t, "en", k, c) for i, t, k, c in ODD], "doc_id long, text string, lang string, source string, n_chars long")
+        (df if n is None else df.limit(n)).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    first = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    again = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    ids = lambda df: sorted({-1 if r.doc_id is None else r.doc_id for r in df.collect()})
+    # of "a b" the second row stays; a null text counts as empty, and of the empty ones row 4 stays
+    assert ids(first) == [2, 4, 5, 6] == ids(again)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
