@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrace.operators.tablestore import TableStore
 
@@ -53,11 +54,15 @@ def apply_changes(changes: DataFrame, keys: Sequence[str], sequence_by: Sequence
 
 
 def latest_changes(changes: DataFrame, keys: Sequence[str], sequence_by: Sequence[str], delete_when: str | None) -> DataFrame:
-    """The last change of each key, with ``_seq`` and ``_deleted``; partly aggregated before the shuffle."""
+    """The last change of each key, with ``_seq`` and ``_deleted``; partly aggregated before the shuffle.
+
+    Of changes with one sequence number, the one whose hash is greatest is
+    last, however they are dealt out over batches.
+    """
     gone = F.coalesce(F.expr(delete_when), F.lit(False)) if delete_when else F.lit(False)
-    rows = changes.withColumns({"_deleted": gone, "_seq": F.struct(*sequence_by)})
+    rows = changes.withColumns({"_deleted": gone, "_seq": F.struct(F.struct(*sequence_by).alias("at"), F.xxhash64(*changes.columns).alias("tie"))})
     rest = [c for c in rows.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_seq", F.xxhash64(*changes.columns))).alias("_last"))
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_seq").alias("_last"))
     return last.select(*keys, "_last.*")
 
 
@@ -88,6 +93,9 @@ class Pipeline:
         self.spark, self.root, self.name = spark, root.rstrip("/"), name
         self.store = TableStore(spark, f"{self.root}/tables")
         self.nodes: dict[str, Node] = {}
+        self.running: list = []
+        self._events: list[dict] = []
+        self._every: str | None = None
 
     def _add(self, kind: str, name: str | None, **more) -> Callable:
         def deco(f: Callable) -> Callable:
@@ -122,15 +130,27 @@ class Pipeline:
         if node.kind == "changes":
             return live(self.store.read(node.name), node.cdc["except_columns"])
         if node.kind == "streaming_table":
-            return self.spark.read.parquet(f"{self.root}/streams/{node.name}")
+            return self._landed(node, self.spark.read)
         return self.store.read(node.name)
 
+    def _schema(self, node: Node) -> T.StructType:
+        """The columns of a streaming table: what it wrote last, or what its query says."""
+        path = f"{self.root}/streams/{node.name}.schema"
+        if self.store._fs.exists(self.store._path(path)):
+            return T.StructType.fromJson(json.loads(self.spark.read.text(path, wholetext=True).first()[0]))
+        return node.query(self).schema
+
+    def _landed(self, node: Node, reader) -> DataFrame:
+        """A streaming table's rows, without the batch that brought them."""
+        path, schema = f"{self.root}/streams/{node.name}", self._schema(node)
+        self.store._fs.mkdirs(self.store._path(path))
+        return reader.schema(T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])).parquet(path).drop("_batch")
+
     def read_stream(self, name: str) -> DataFrame:
         node = self.nodes[name.removeprefix("LIVE.")]
         if node.kind != "streaming_table":
             raise ValueError(f"{name} is no streaming table")
-        path = f"{self.root}/streams/{node.name}"
-        return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(path)
+        return self._landed(node, self.spark.readStream)
 
     # -- graph -------------------------------------------------------------
 
@@ -157,16 +177,56 @@ class Pipeline:
             visit(n)
         return done
 
-    def validate(self) -> list[str]:
-        """Checks the graph; no data is read."""
-        return self.order()
+    def validate(self) -> dict[str, list[str]]:
+        """Checks the graph and each dataset's query and expectations; returns their columns. No rows are read.
+
+        A dataset that reads tables which no update has made yet cannot be
+        analysed beyond the graph and has no columns here.
+        """
+        out: dict[str, list[str]] = {}
+        for n in self.order():
+            node = self.nodes[n]
+            made = all(self.nodes[r.removeprefix("LIVE.")].kind in ("view", "streaming_table") or self.store.exists(r.removeprefix("LIVE.")) for r in node.reads)
+            if made:
+                df = node.query(self)
+                for e in node.expectations:
+                    df.filter(e.holds())
+                out[n] = df.columns
+            else:
+                out[n] = []
+        return out
+
+    def describe(self) -> DataFrame:
+        """name, kind, comment and properties of all datasets, from the table that updates keep."""
+        return self.store.read("_datasets")
 
     # -- updating ----------------------------------------------------------
 
     def update(self, full_refresh: bool = False, continuous: str | None = None) -> str:
-        """One update of all datasets; returns its id. ``continuous`` is a trigger interval for streaming nodes."""
+        """One update of all datasets; returns its id.
+
+        With ``continuous``, a trigger interval, streaming tables and change
+        feeds are left running and taken up again at that interval, until
+        ``stop``; materialized views are computed once, after them.
+        """
         update_id = uuid.uuid4().hex
         order = self.order()
+        self._every = continuous
+        try:
+            return self._update(update_id, order, full_refresh)
+        finally:
+            self._flush(update_id)
+
+    def stop(self) -> None:
+        """Ends what a continuous update has left running, after the rows that have arrived."""
+        for query in self.running:
+            query.processAllAvailable()
+            query.stop()
+        self.running.clear()
+        self._flush("continuous")
+
+    def _update(self, update_id: str, order: list[str], full_refresh: bool) -> str:
+        self._note_datasets()
         self._log(update_id, "user_action", {"user_action": {"action": "FULL_REFRESH" if full_refresh else "REFRESH"}})
         self._log(update_id, "create_update", {"create_update": {"full_refresh": full_refresh}})
         for n in order:
@@ -186,7 +246,7 @@ class Pipeline:
 
     def _reset(self, node: Node) -> None:
         fs, path = self.store._fs, self.store._path
-        for p in (f"{self.root}/streams/{node.name}", f"{self.root}/checkpoints/{node.name}"):
+        for p in (f"{self.root}/streams/{node.name}", f"{self.root}/streams/{node.name}.schema", f"{self.root}/checkpoints/{node.name}"):
             fs.delete(path(p), True)
         if node.kind == "changes" and self.store.exists(node.name):
             self.store.drop(node.name)
@@ -214,7 +274,13 @@ class Pipeline:
         self._log(update_id, "flow_progress", {"flow_progress": {"status": "COMPLETED", "dataset": node.name, "data_quality": {"expectations": quality}}})
 
     def _run(self, node: Node, df: DataFrame, batch: Callable[[DataFrame, int], None]) -> None:
-        query = df.writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.root}/checkpoints/{node.name}").trigger(availableNow=True).start()
+        writer = df.writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.root}/checkpoints/{node.name}")
+        if self._every:
+            query = writer.trigger(processingTime=self._every).start()
+            query.processAllAvailable()
+            self.running.append(query)
+            return
+        query = writer.trigger(availableNow=True).start()
         try:
             query.awaitTermination()
         except Exception as e:
@@ -229,14 +295,16 @@ class Pipeline:
             # a batch has a folder of its own, so doing it again replaces what it wrote
             self._guarded(node, df, lambda out: out.write.mode("overwrite").parquet(f"{path}/_batch={number}"), update_id)
 
-        self._run(node, node.query(self), batch)
+        df = node.query(self)
+        self.store._put(f"{path}.schema", df.schema.json(), True)
+        self._run(node, df, batch)
 
     def _cdc(self, node: Node, update_id: str) -> None:
         c = node.cdc
 
         def batch(df: DataFrame, number: int) -> None:
             def write(out: DataFrame) -> None:
-                new = latest_changes(out.drop("_batch"), c["keys"], c["sequence_by"], c["delete_when"])
+                new = latest_changes(out, c["keys"], c["sequence_by"], c["delete_when"])
                 if self.store.exists(node.name):
                     newer = F.col("s._seq") > F.col("t._seq")
                     self.store.merge(node.name, new, c["keys"], matched_if=newer)
@@ -258,14 +326,29 @@ class Pipeline:
 
     # -- event log ---------------------------------------------------------
 
+    def _note_datasets(self) -> None:
+        """Comments and properties in a table of their own, written where they have changed."""
+        rows = sorted((n.name, n.kind, n.comment, json.dumps(n.properties, sort_keys=True)) for n in self.nodes.values())
+        if self.store.exists("_datasets"):
+            if sorted(tuple(r) for r in self.store.read("_datasets").collect()) != rows:
+                self.store.overwrite("_datasets", self.spark.createDataFrame(rows, DATASETS))
+        elif rows:
+            self.store.create("_datasets", self.spark.createDataFrame(rows, DATASETS))
+
     def _log(self, update_id: str, event_type: str, details: dict) -> None:
-        row = (uuid.uuid4().hex, event_type, dt.datetime.now(dt.timezone.utc), update_id, json.dumps(details))
-        self.spark.createDataFrame([row], EVENT_LOG).coalesce(1).write.mode("append").json(f"{self.root}/event_log")
+        self._events.append({"id": uuid.uuid4().hex, "event_type": event_type, "timestamp": dt.datetime.now(dt.timezone.utc).isoformat(), "update_id": update_id, "details": json.dumps(details)})
+
+    def _flush(self, update_id: str) -> None:
+        """All events of an update as one file, also where it failed."""
+        events, self._events = self._events, []
+        if events:
+            self.store._put(f"{self.root}/event_log/{update_id}-{uuid.uuid4().hex[:8]}.json", "\n".join(map(json.dumps, events)) + "\n", False)
 
     def event_log(self) -> DataFrame:
         return self.spark.read.schema(EVENT_LOG).json(f"{self.root}/event_log")
 
 
+DATASETS = "name string, kind string, comment string, properties string"
 EVENT_LOG = "id string, event_type string, timestamp timestamp, update_id string, details string"
 QUALITY = "STRUCT<flow_progress: STRUCT<data_quality: STRUCT<expectations: ARRAY<STRUCT<name: STRING, dataset: STRING, passed_records: BIGINT, failed_records: BIGINT>>>>>"
 

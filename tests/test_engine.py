@@ -172,7 +172,7 @@ def test_constraints_schemas_and_conflicts(spark, store):
     store.append("p", df.withColumn("x", F.lit(1)), merge_schema=True)
     assert {r.x for r in store.read("p").collect()} == {None, 1}
     with pytest.raises(CommitConflict):
-        store._commit("p", 0, "TWICE", [], df.schema)
+        store._commit("p", store.entry("p", 0))
     store.clone("p", "q")
     store.delete("p")
     assert store.read("q").count() == 2
