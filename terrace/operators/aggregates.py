@@ -15,9 +15,10 @@ def money_sum(column: Column, precision: str = "decimal(18,2)") -> Column:
     return F.sum(column.cast(precision)).cast("double")
 
 
-def group_agg(df: DataFrame, group_by: Sequence[str], aggregations: Mapping[str, str]) -> DataFrame:
-    """{column}_{function} for each; missing columns are skipped; without aggregations the input passes."""
-    aggs = [_FUNCTIONS[f](F.col(c)).alias(f"{c}_{f}") for c, f in aggregations.items() if c in df.columns]
+def group_agg(df: DataFrame, group_by: Sequence[str], aggregations: Mapping[str, str | Sequence[str]]) -> DataFrame:
+    """{column}_{function} for each of a column's functions; missing columns are skipped; without aggregations the input passes."""
+    wanted = [(c, f) for c, fs in aggregations.items() if c in df.columns for f in ([fs] if isinstance(fs, str) else fs)]
+    aggs = [_FUNCTIONS[f](F.col(c)).alias(f"{c}_{f}") for c, f in wanted]
     return df.groupBy(*group_by).agg(*aggs) if aggs else df
 
 
@@ -69,3 +70,16 @@ def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     one = df.agg(*[f(c).cast("double").alias(f"{c}|{s}") for c in columns for s, f in stats.items()])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.round(F.col(f"`{c}|{s}`"), 4).alias(f"stat_{s}") for s in stats]) for c in columns])
     return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """How many distinct values each column has, by keys or in all.
+
+    Rows become (column, hash) pairs, of which each is counted once: several
+    distinct counts in one aggregate would shuffle whole rows once for each.
+    128 bits tell values apart.
+    """
+    pairs = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("k"), F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), F.col(c)).alias("b"))) for k, c in enumerate(columns)])
+    each = df.select(*keys, F.explode(F.array_compact(pairs)).alias("p")).select(*keys, "p.*").distinct()
+    out = each.groupBy(*keys).agg(*[F.count(F.when(F.col("k") == k, 1)).alias(c) for k, c in enumerate(columns)])
+    return out

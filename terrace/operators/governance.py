@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,7 +68,51 @@ class Policies:
         return self.secure(table, spark.table(table), who)
 
 
-def list_tables(spark: SparkSession, schema: str | None = None, max_tables: int | None = None) -> DataFrame:
-    """An information-schema view of the session's tables."""
-    found = sorted((t.catalog or "", (t.namespace or [""])[0], t.name, t.tableType, t.isTemporary) for t in spark.catalog.listTables(schema))
+def list_tables(spark: SparkSession, schema: str | None = None, max_tables: int | None = None, like: str | None = None) -> DataFrame:
+    """An information-schema view of the session's tables and views, by name, up to a number of them."""
+    found = sorted((t.catalog or "", (t.namespace or [""])[0], t.name, t.tableType, t.isTemporary) for t in spark.catalog.listTables(schema, like))
     return spark.createDataFrame(found[:max_tables], "table_catalog string, table_schema string, table_name string, table_type string, is_temporary boolean")
+
+
+def list_schemas(spark: SparkSession) -> DataFrame:
+    rows = sorted((d.catalog or "", d.name) for d in spark.catalog.listDatabases())
+    return spark.createDataFrame(rows, "catalog_name string, schema_name string")
+
+
+def list_columns(spark: SparkSession, table: str) -> DataFrame:
+    rows = [(k, x.name, x.dataType, x.nullable) for k, x in enumerate(spark.catalog.listColumns(table))]
+    return spark.createDataFrame(rows, "position int, column_name string, data_type string, nullable boolean")
+
+
+def modified_since(store, since: float) -> DataFrame:
+    """Versioned tables that were changed at a time or after it."""
+    return store.detail().filter(F.col("modified_at") >= since)
+
+
+def upgrade(spark: SparkSession, names: Sequence[str], store, how: str = "copy") -> dict[str, str]:
+    """Brings session tables into a store: ``copy`` writes them, ``sync`` only those whose rows differ in number or columns."""
+    done = {}
+    for n in names:
+        df = spark.table(n)
+        short = n.rpartition(".")[2]
+        if store.exists(short):
+            have = store.read(short)
+            if how == "sync" and have.columns == df.columns and have.count() == df.count():
+                done[n] = "unchanged"
+                continue
+            store.overwrite(short, df, overwrite_schema=True)
+            done[n] = "replaced"
+        else:
+            store.create(short, df)
+            done[n] = "created"
+    return done
+
+
+def mrn_mask(column: Column, who: Principal, group: str = "admins") -> Column:
+    """Record numbers are shown to one group's members alone."""
+    return F.when(who.is_member(group), column.cast("string")).otherwise("REDACTED")
+
+
+def device_filter(column: Column, who: Principal, below: int = 30, group: str = "admins") -> Column:
+    """Members of one group see all devices, others those under a number."""
+    return who.is_member(group) | (column < below)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,14 +126,36 @@ def run_suite(df: DataFrame, checks: Sequence[Check]) -> list[dict]:
     return out
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """Of each column: rows, nulls and their share, distinct values, empty strings; one aggregate."""
+def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """Of each column: rows, nulls and their share, distinct values, empty strings.
+
+    One aggregate for all but the distinct values, which are counted from
+    pairs of column and value; with ``approximate`` those come from sketches,
+    in the same aggregate.
+    """
+    names = [f"`{f.name}`" for f in df.schema]
     aggs = []
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
+    for k, f in enumerate(df.schema):
+        c = F.col(names[k])
         empty = _n(F.trim(c) == "") if isinstance(f.dataType, T.StringType) else F.lit(0).cast("long")
-        aggs.append(F.struct(F.lit(f.name).alias("column_name"), _n().alias("total_rows"), (_n() - F.count(c)).alias("null_count"), _share(_n() - F.count(c), _n()).alias("null_percentage"), F.countDistinct(c).alias("distinct_count"), empty.alias("empty_string_count")))
-    return df.agg(F.array(*aggs).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+        distinct = F.approx_count_distinct(c) if approximate else F.lit(None).cast("long")
+        aggs.append(F.struct(F.lit(f.name).alias("column_name"), _n().alias("total_rows"), (_n() - F.count(c)).alias("null_count"), _share(_n() - F.count(c), _n()).alias("null_percentage"), distinct.alias("distinct_count"), empty.alias("empty_string_count")))
+    out = df.agg(F.array(*aggs).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    if approximate:
+        return out
+    pairs = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(f.name).alias("column_name"), F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), F.col(c)).alias("b"))) for c, f in zip(names, df.schema)]))
+    counts = df.select(F.explode(pairs).alias("p")).select("p.*").distinct().groupBy("column_name").agg(_n().alias("d"))
+    return out.join(counts, "column_name", "left").select(*[F.coalesce("d", F.lit(0)).alias(c) if c == "distinct_count" else F.col(c) for c in out.columns])
+
+
+def capped_profile(df: DataFrame, order_by: Sequence[str], max_rows: int = 10_000) -> DataFrame:
+    """A profile of the first rows in a stated order."""
+    return profile(df.orderBy(*order_by).limit(max_rows))
+
+
+def schema_info(df: DataFrame) -> DataFrame:
+    """position, column_name, data_type and nullable of all columns; no rows are read."""
+    return df.sparkSession.createDataFrame([(k, f.name, f.dataType.simpleString(), f.nullable) for k, f in enumerate(df.schema)], "position int, column_name string, data_type string, nullable boolean")
 
 
 def null_profile(df: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -206,3 +228,35 @@ def drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """Changes between two snapshots, by column."""
     a, b = before.alias("a"), after.alias("b")
     return a.join(b, "column_name", "full").select("column_name", (F.col("b.total_rows") - F.col("a.total_rows")).alias("rows_change"), (F.col("b.null_count") - F.col("a.null_count")).alias("null_change"), (F.col("b.distinct_count") - F.col("a.distinct_count")).alias("distinct_change"))
+
+
+#: What each layer's validator wants: the share of nulls that a column may have, and the least score.
+LAYERS = {"bronze": (0.5, 0.80), "silver": (0.1, 0.95), "gold": (0.0, 0.95)}
+
+
+def validate_layers(tables: dict[str, DataFrame], checks: dict[str, Sequence[Check]] | None = None) -> tuple[list[Validation], float]:
+    """Each layer by its own bounds, and the mean score."""
+    found = [validate_layer(df, layer, *LAYERS[layer], checks=(checks or {}).get(layer, ())) for layer, df in tables.items()]
+    return found, sum(v.score for v in found) / len(found) if found else 0.0
+
+
+def metric_consistency(df: DataFrame, total: str, parts: Sequence[str], tolerance: float = 0.01) -> DataFrame:
+    """Rows whose parts do not add up to their total."""
+    whole = sum((F.coalesce(F.col(p), F.lit(0)) for p in parts[1:]), F.coalesce(F.col(parts[0]), F.lit(0)))
+    return df.agg(_n().alias("total_rows"), _n(~F.coalesce(F.abs(F.col(total) - whole) <= tolerance, F.lit(False))).alias("inconsistent_rows"))
+
+
+def aggregation_accuracy(detail: DataFrame, summary: DataFrame, keys: Sequence[str], value: str, total: str, tolerance: float = 0.01) -> DataFrame:
+    """Groups of a summary that differ from, or are missing against, the detail's sums."""
+    want = detail.groupBy(*keys).agg(F.sum(F.col(value).cast("decimal(28,6)")).cast("double").alias("_want"))
+    both = want.join(summary.select(*keys, F.col(total).alias("_have")), list(keys), "full")
+    good = F.coalesce(F.abs(F.col("_want") - F.col("_have")) <= tolerance, F.lit(False))
+    return both.agg(_n().alias("groups"), _n(~good).alias("wrong_groups"))
+
+
+def trend(df: DataFrame, period: str, value: Column, limit: float = 0.5) -> DataFrame:
+    """Of each period: its value, the share by which it differs from the one before, and whether that exceeds the limit."""
+    rows = df.groupBy(period).agg(value.alias("value"))
+    before = F.lag("value").over(Window.orderBy(period))  # one row for each period
+    change = F.round(F.try_divide(F.col("value") - F.col("before"), F.col("before")), 4)
+    return rows.withColumn("before", before).select(period, "value", change.alias("change"), F.coalesce(F.abs(change) > limit, F.lit(False)).alias("anomaly"))

@@ -86,3 +86,16 @@ def threshold_alert(df: DataFrame, cost: str, limit: float, early: float = 0.8)
     """alert at the limit, warning at a share of it, else ok."""
     c = F.col(cost)
     return df.withColumn("alert", F.when(c >= limit, "alert").when(c >= early * limit, "warning").otherwise("ok"))
+
+
+def current_month(df: DataFrame, service: str, at: str, cost: str, today: str | None = None) -> DataFrame:
+    """Costs by service in the month of a day, today where none is given."""
+    day = F.current_date() if today is None else F.lit(today).cast("date")
+    inside = df.filter(F.date_trunc("month", at).cast("date") == F.date_trunc("month", day).cast("date"))
+    return inside.groupBy(F.col(service).alias("service")).agg(F.sum(F.col(cost).cast("decimal(18,2)")).cast("double").alias("total_cost"))
+
+
+def charts(df: DataFrame) -> DataFrame:
+    """column_name and kind of all columns."""
+    rows = sorted((c, k) for k, cs in column_kinds(df).items() for c in cs)
+    return df.sparkSession.createDataFrame(rows, "column_name string, kind string")

@@ -13,7 +13,7 @@ import datetime as dt
 import json
 import time
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 from urllib.parse import unquote, urlparse
@@ -139,6 +139,8 @@ class TableStore:
 
     def _write(self, name: str, e: Entry, df: DataFrame, operation: str, keep: Sequence[str] = (), changes: Mapping[str, object] | None = None, **parameters: object) -> int:
         new = self._next(e, operation, (), df.schema, changes, **parameters)
+        if not df.columns:  # a table whose columns come with its first rows
+            return self._commit(name, new)
         path = self._data(name, new.version, df, new.constraints)
         return self._commit(name, replace(new, paths=[*keep, path]))
 
@@ -360,6 +362,10 @@ class TableStore:
         return self.version(name)
 
 
+def _not_above(value: Column) -> Callable[[Column], Column]:
+    return lambda cut: cut <= value
+
+
 def z_value(df: DataFrame, columns: Sequence[str], bits: int = 8) -> Column:
     """Interleaved bits of each column's rank among its quantiles, of which there are 2**bits - 1."""
     cuts = [k / 2**bits for k in range(1, 2**bits)]
@@ -368,7 +374,7 @@ def z_value(df: DataFrame, columns: Sequence[str], bits: int = 8) -> Column:
     out = F.lit(0).cast("long")
     for k, v in enumerate(number.values()):
         found = F.array(*map(F.lit, at[k] or []))
-        rank = F.aggregate(found, F.lit(0).cast("long"), lambda n, q, v=v: n + F.coalesce((v >= q).cast("long"), F.lit(0).cast("long"))) if at[k] else F.lit(0).cast("long")
+        rank = F.size(F.filter(found, _not_above(v))).cast("long") if at[k] else F.lit(0).cast("long")
         for b in range(bits):
             out = out.bitwiseOR(F.shiftleft(F.shiftright(rank, b).bitwiseAND(F.lit(1).cast("long")), b * len(columns) + k))
     return out

@@ -130,11 +130,17 @@ def drop_anomalies(df: DataFrame, distance: str, amount: str) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str], keep: str = "first") -> DataFrame:
-    """One row of each key: the first or last in a stated order, so that reruns agree."""
+    """One row of each key: the first or last in a stated order, so that reruns agree.
+
+    Columns named in rising order are compared inside an aggregate, which
+    thins rows out before the shuffle; other orders take a window.
+    """
     if keep not in ("first", "last"):
         raise ValueError(keep)
     if not order_by:
         raise ValueError("order_by is needed: without it the row that stays is left to chance")
+    if all(isinstance(o, str) for o in order_by):
+        return _extreme(df, keys, order_by, F.min_by if keep == "first" else F.max_by)
     order = list(order_by)
     if keep == "last":
         n = Window.partitionBy(*keys)
@@ -142,8 +148,17 @@ def deduplicate(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column |
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
+def _extreme(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], pick: Callable) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    one = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order_by)).alias("_row"))
+    return one.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
+
+
 def latest_by_key(df: DataFrame, keys: Sequence[str], timestamp: str, tiebreak: Sequence[str] = ()) -> DataFrame:
-    return deduplicate(df, keys, [F.col(timestamp).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in tiebreak]])
+    """The newest row of each key; rows without a time are the oldest."""
+    return _extreme(df, keys, [timestamp, *tiebreak], F.max_by)
 
 
 def data_cleaning(df: DataFrame, email: str) -> DataFrame:

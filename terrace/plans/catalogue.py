@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from terrace.plans import queries_engine, queries_tables  # noqa: F401
+    from terrace.plans import queries_engine, queries_more, queries_tables  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

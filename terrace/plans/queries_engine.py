@@ -20,7 +20,12 @@ c = F.col
 
 def workspace(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="terrace-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+        base = tempfile.mkdtemp(prefix="terrace-")
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex[:12]}"
 
 
@@ -32,15 +37,16 @@ def _orders(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-# a target of some orders, and changes to two thirds of all
-_TARGET = "(SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 2 = 0)"
-_SOURCE = "(SELECT o_orderkey, 'N' AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0)"
+# all orders, and changes to all of them, every second of which has a key that is new
+_TARGET = "(SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders)"
+_SOURCE = "(SELECT o_orderkey + CASE WHEN o_orderkey % 2 = 0 THEN 1000000000 ELSE 0 END AS o_orderkey, 'N' AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders)"
 _FULL = f"FROM {_TARGET} t FULL JOIN {_SOURCE} s ON t.o_orderkey = s.o_orderkey"
 
 
 def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     o = _orders(t)
-    return o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 3 <> 0").select("o_orderkey", F.lit("N").alias("o_orderstatus"), (c("o_totalprice") + 1).alias("o_totalprice"))
+    key = (c("o_orderkey") + F.when(c("o_orderkey") % 2 == 0, 1000000000).otherwise(0)).alias("o_orderkey")
+    return o, o.select(key, F.lit("N").alias("o_orderstatus"), (c("o_totalprice") + 1).alias("o_totalprice"))
 
 
 @query("merge_upsert", f"SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey, coalesce(s.o_orderstatus, t.o_orderstatus) AS o_orderstatus, coalesce(s.o_totalprice, t.o_totalprice) AS o_totalprice {_FULL}")
@@ -260,7 +266,7 @@ def _pipeline(t: Tables) -> G.Pipeline:
 
     @p.streaming_table("events_silver", reads=("events_bronze",), expectations=[G.Expectation("has_user", "user_id IS NOT NULL", "fail"), G.Expectation("high", "value > 10", "drop"), G.Expectation("no_errors", "event_type <> 'error'")])
     def silver(p):
-        return p.read_stream("LIVE.events_bronze").drop("_batch")
+        return p.read_stream("LIVE.events_bronze")
 
     @p.materialized_view("events_by_type", reads=("events_silver",))
     def gold(p):

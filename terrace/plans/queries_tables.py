@@ -35,9 +35,9 @@ def _(t: Tables) -> DataFrame:
     return files.read_any(t.spark, f"{t.folder}/region.parquet")
 
 
-@query("scan_file_metadata")
+@query("scan_file_metadata", "SELECT n_nationkey, 'nation.parquet' AS file_name, true AS has_size, true AS has_time FROM nation")
 def _(t: Tables) -> DataFrame:
-    return files.with_file_metadata(t.nation).select("n_nationkey", "file_name", "file_size")
+    return files.with_file_metadata(t.nation).select("n_nationkey", "file_name", (c("file_size") > 0).alias("has_size"), (c("file_modification_time") <= F.current_timestamp()).alias("has_time"))
 
 
 @query("scan_values", "SELECT * FROM (VALUES (1, 'laptop', 1200.5), (2, 'mouse', 25.25)) v(id, name, price)")
@@ -197,7 +197,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("dedup_last", f"SELECT * EXCLUDE (rn, n) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {_LINE_SQL}) AS rn, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE rn = n")
 def _(t: Tables) -> DataFrame:
-    return P.deduplicate(t.lineitem, ["l_orderkey"], [c("l_linenumber"), *_LINE], keep="last")
+    return P.deduplicate(t.lineitem, ["l_orderkey"], ["l_linenumber", *_LINE], keep="last")
 
 
 @query("dedup_latest", "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
@@ -340,8 +340,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("gold_group_agg", "SELECT o_orderstatus, max(o_totalprice) AS o_totalprice_max, min(o_totalprice) AS o_totalprice_min, count(o_orderkey) AS o_orderkey_count, count(DISTINCT o_custkey) AS o_custkey_count_distinct FROM orders GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    one = A.group_agg(t.orders, ["o_orderstatus"], {"o_totalprice": "max", "o_orderkey": "count", "o_custkey": "count_distinct", "gone": "sum"})
-    return one.join(A.group_agg(t.orders, ["o_orderstatus"], {"o_totalprice": "min"}), "o_orderstatus")
+    return A.group_agg(t.orders, ["o_orderstatus"], {"o_totalprice": ["max", "min"], "o_orderkey": "count", "o_custkey": "count_distinct", "gone": "sum"})
 
 
 @query("time_series_agg", f"SELECT date_trunc('month', o_orderdate)::DATE AS period, count(*) AS n, sum(o_totalprice::{MONEY})::DOUBLE AS total FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1")
@@ -388,15 +387,19 @@ def _(t: Tables) -> DataFrame:
 
 @query("sales_analytics", f"SELECT o_orderstatus, date_trunc('month', o_orderdate)::DATE AS month, count(DISTINCT o_orderkey) AS total_orders, count(DISTINCT o_custkey) AS unique_customers, sum(o_totalprice::{MONEY})::DOUBLE AS total_revenue, sum(o_totalprice::{MONEY})::DOUBLE / count(DISTINCT o_custkey) AS revenue_per_customer, count(o_orderkey)::DOUBLE / count(DISTINCT o_custkey) AS orders_per_customer FROM orders GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    total, people = A.money_sum(c("o_totalprice")), F.countDistinct("o_custkey")
-    return t.orders.groupBy("o_orderstatus", F.date_trunc("month", "o_orderdate").cast("date").alias("month")).agg(F.countDistinct("o_orderkey").alias("total_orders"), people.alias("unique_customers"), total.alias("total_revenue"), (total / people).alias("revenue_per_customer"), (F.count("o_orderkey") / people).alias("orders_per_customer"))
+    month = F.date_trunc("month", "o_orderdate").cast("date").alias("month")
+    per = t.orders.groupBy("o_orderstatus", month, "o_custkey").agg(F.countDistinct("o_orderkey").alias("d"), F.count("o_orderkey").alias("n"), F.sum(c("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    total, people = F.sum("total").cast("double"), F.count("o_custkey")
+    return per.groupBy("o_orderstatus", "month").agg(F.sum("d").alias("total_orders"), people.alias("unique_customers"), total.alias("total_revenue"), (total / people).alias("revenue_per_customer"), (F.sum("n") / people).alias("orders_per_customer"))
 
 
 @query("executive_summary", f"SELECT 'Executive Summary' AS report_type, '1998-01-01' AS report_date, count(DISTINCT o_custkey) AS total_customers, count(DISTINCT o_orderkey) AS total_orders, sum(o_totalprice::{MONEY})::DOUBLE AS total_revenue, count(DISTINCT CASE WHEN o_orderdate >= TIMESTAMP '1997-12-02' THEN o_custkey END) AS active_customers_30d, count(DISTINCT CASE WHEN o_orderdate >= TIMESTAMP '1997-10-03' THEN o_custkey END) AS active_customers_90d FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01'")
 def _(t: Tables) -> DataFrame:
+    # by customer first: what is distinct in all is then counted without another shuffle of rows
     day = F.lit("1998-01-01").cast("date")
-    active = lambda n: F.countDistinct(F.when(c("o_orderdate") >= F.date_sub(day, n).cast("timestamp_ntz"), c("o_custkey")))
-    return t.orders.filter(c("o_orderdate") <= day.cast("timestamp_ntz")).agg(F.countDistinct("o_custkey").alias("total_customers"), F.countDistinct("o_orderkey").alias("total_orders"), A.money_sum(c("o_totalprice")).alias("total_revenue"), active(30).alias("active_customers_30d"), active(90).alias("active_customers_90d")).withColumns({"report_type": F.lit("Executive Summary"), "report_date": F.lit("1998-01-01")})
+    per = t.orders.filter(c("o_orderdate") <= day.cast("timestamp_ntz")).groupBy("o_custkey").agg(F.countDistinct("o_orderkey").alias("n"), F.sum(c("o_totalprice").cast("decimal(18,2)")).alias("total"), F.max("o_orderdate").alias("last"))
+    active = lambda n: A.count_where(c("o_custkey").isNotNull() & (c("last") >= F.date_sub(day, n).cast("timestamp_ntz")))
+    return per.agg(F.count("o_custkey").alias("total_customers"), F.sum("n").alias("total_orders"), F.sum("total").cast("double").alias("total_revenue"), active(30).alias("active_customers_30d"), active(90).alias("active_customers_90d")).withColumns({"report_type": F.lit("Executive Summary"), "report_date": F.lit("1998-01-01")})
 
 
 @query("having_min_spend", f"SELECT o_custkey, sum(o_totalprice::{MONEY})::DOUBLE AS total_spend FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1 HAVING total_spend > 100000")
@@ -443,9 +446,10 @@ def _(t: Tables) -> DataFrame:
     return t.lineitem.filter("l_linestatus = 'O'").alias("l").join(e, c("l_orderkey") == c("o_orderkey")).select("l.*", "c_name")
 
 
+# customers without and with orders, and orders whose shifted customer is unknown
 for _how, _sql in (("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
-    query(f"join_{_how}", f"SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) a {_sql} (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) b ON c_custkey = s_suppkey")(
-        lambda t, how=_how: t.customer.filter("c_custkey % 3 = 0").join(t.supplier.filter("s_suppkey % 2 = 0"), c("c_custkey") == c("s_suppkey"), how).select("c_custkey", "s_suppkey")
+    query(f"join_{_how}", f"SELECT c_custkey, o_orderkey FROM customer {_sql} (SELECT o_orderkey, o_custkey + 100 AS k FROM orders) o ON c_custkey = k")(
+        lambda t, how=_how: t.customer.join(t.orders.select("o_orderkey", (c("o_custkey") + 100).alias("k")), c("c_custkey") == c("k"), how).select("c_custkey", "o_orderkey")
     )
 
 
@@ -500,8 +504,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("flatten_distinct", "SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS parts FROM lineitem GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    per = t.lineitem.groupBy("l_suppkey", "l_orderkey").agg(F.collect_list("l_partkey").alias("a"))
-    return per.groupBy("l_suppkey").agg(F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set("a")))), ",").alias("parts"))
+    pairs = t.lineitem.select("l_suppkey", "l_partkey").distinct()
+    return pairs.groupBy("l_suppkey").agg(F.array_join(F.sort_array(F.collect_list("l_partkey")), ",").alias("parts"))
 
 
 @query("map_lookup", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -675,12 +679,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("udf_sale_announcement", "SELECT p_partkey, 'The ' || p_name || ' is on sale for $' || round(p_retailprice * 0.8)::INTEGER AS message FROM part")
 def _(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", S.sale_announcement(c("p_name"), c("p_retailprice")).alias("message"))
+    return t.part.select("p_partkey", F.concat(F.lit("The "), c("p_name"), F.lit(" is on sale for $"), S.sale_price(c("p_retailprice"))).alias("message"))
 
 
-@query("udf_item_preference", "SELECT p_partkey, CASE WHEN p_brand = 'STANDARD' THEN 'This is my default choice' WHEN p_brand = 'PREMIUM' THEN 'This is my favourite' WHEN p_retailprice > 1500 THEN 'It is too expensive: ' || p_brand ELSE 'Maybe: ' || p_brand END AS preference FROM part")
+@query("udf_item_preference", "SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 'first choice' WHEN p_retailprice > 1500 THEN 'wait until ' || p_name || ' costs ' || round(p_retailprice * 0.8)::INTEGER ELSE 'no need of ' || p_name END AS preference FROM part")
 def _(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", S.item_preference(c("p_brand"), c("p_retailprice")).alias("preference"))
+    rules = [(c("p_brand") == "Brand#11", F.lit("first choice")), (c("p_retailprice") > 1500, F.concat(F.lit("wait until "), c("p_name"), F.lit(" costs "), S.sale_price(c("p_retailprice"))))]
+    return t.part.select("p_partkey", S.first_message(rules, F.concat(F.lit("no need of "), c("p_name"))).alias("preference"))
 
 
 @query("udf_sql_functions", "SELECT c_custkey, CASE WHEN c_acctbal >= 10000 THEN 'Premium' WHEN c_acctbal >= 5000 THEN 'Gold' WHEN c_acctbal >= 1000 THEN 'Silver' ELSE 'Bronze' END AS segment, coalesce(c_acctbal BETWEEN 0 AND 500, false) AS small FROM customer")

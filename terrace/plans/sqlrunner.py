@@ -58,14 +58,14 @@ _PIECE = re.compile(r"""--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`
 
 
 def split(sql: str) -> list[str]:
-    """Statements, split at semicolons outside quotes and comments; comments go."""
+    """Statements, split at semicolons outside quotes and comments; comments go, hints stay."""
     out, now = [], []
     for m in _PIECE.finditer(sql):
         piece = m[0]
         if piece == ";":
             out.append("".join(now).strip())
             now = []
-        elif not piece.startswith(("--", "/*")):
+        elif piece.startswith("/*+") or not piece.startswith(("--", "/*")):
             now.append(piece)
     out.append("".join(now).strip())
     return [s for s in out if s]
@@ -73,7 +73,7 @@ def split(sql: str) -> list[str]:
 
 def is_query(statement: str) -> bool:
     """By its first word, so a column named updated_at makes no UPDATE of it."""
-    return statement.split(None, 1)[0].upper() in ("SELECT", "WITH", "VALUES", "FROM", "SHOW", "DESCRIBE", "TABLE", "EXPLAIN")
+    return re.match(r"[\s(]*(\w*)", statement)[1].upper() in ("SELECT", "WITH", "VALUES", "FROM", "SHOW", "DESCRIBE", "TABLE", "EXPLAIN")
 
 
 @dataclass

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,18 +104,42 @@ def external_csv_table(spark: SparkSession, name: str, path: str, columns: str,
     return spark.table(name)
 
 
-def stream_files(spark: SparkSession, path: str, fmt: str, schema: T.StructType | str | None = None, max_files: int | None = None, clean_source: str | None = None, archive: str | None = None, **options: str) -> DataFrame:
-    """An incremental file source. Without a schema, that of the files present is taken."""
-    if schema is None:
-        schema = read_any(spark, path, fmt, **options).schema
-    reader = spark.readStream.format(fmt).schema(schema).options(**({"header": "true"} if fmt == "csv" else {}), **options)
+def stream_files(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None, max_files: int | None = None, clean_source: str | None = None, archive: str | None = None, schema_location: str | None = None, infer_types: bool = True, metadata: bool = False, **options: str) -> DataFrame:
+    """An incremental file source.
+
+    Without a schema, that of the files present is taken; with
+    ``schema_location``, it is kept there, and later runs take it from there.
+    Without ``infer_types`` all columns are strings. With ``metadata``, the
+    files' names, sizes and times come as a struct ``_metadata``.
+    """
+    fmt = fmt or detect_format(spark, path)
+    if schema is None and schema_location:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{schema_location}/schema.json")
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(where):
+            schema = T.StructType.fromJson(json.loads(spark.read.text(f"{schema_location}/schema.json", wholetext=True).first()[0]))
+        else:
+            schema = _inferred(spark, path, fmt, infer_types, options)
+            out = fs.create(where, False)
+            out.write(bytearray(schema.json().encode()))
+            out.close()
+    elif schema is None:
+        schema = _inferred(spark, path, fmt, infer_types, options)
+    reader = spark.readStream.format(fmt).schema(schema).options(**(({"header": "true"} if fmt == "csv" else {}) | options))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if clean_source:
         reader = reader.option("cleanSource", clean_source)
         if archive:
             reader = reader.option("sourceArchiveDir", archive)
-    return reader.load(path)
+    out = reader.load(path)
+    return out.select("*", "_metadata") if metadata else out
+
+
+def _inferred(spark: SparkSession, path: str, fmt: str, types: bool, options: dict) -> T.StructType:
+    found = read_any(spark, path, fmt, **options).schema
+    return found if types else T.StructType([T.StructField(f.name, T.StringType()) for f in found])
 
 
 def list_datasets(spark: SparkSession, root: str, offset: int = 0, limit: int = 100) -> DataFrame:
@@ -126,5 +151,10 @@ def list_datasets(spark: SparkSession, root: str, offset: int = 0, limit: int =
     return spark.createDataFrame(entries[offset : offset + limit], "name string, path string, is_dir boolean, size long")
 
 
-def select_all_sql(path: str, fmt: str, limit: int | None = None) -> str:
-    return f"SELECT * FROM {fmt}.`{path}`" + (f" LIMIT {int(limit)}" if limit is not None else "")
+def select_all_sql(path: str, fmt: str, limit: int | None = None, options: dict[str, str] | None = None, name: str = "all_rows") -> list[str]:
+    """SQL statements that select all rows of files; reader options need a view of their own."""
+    end = f" LIMIT {int(limit)}" if limit is not None else ""
+    if not options:
+        return [f"SELECT * FROM {fmt}.`{path}`{end}"]
+    chosen = ", ".join(f"{k} '{v}'" for k, v in sorted(options.items()))
+    return [f"CREATE OR REPLACE TEMPORARY VIEW {name} USING {fmt} OPTIONS (path '{path}', {chosen})", f"SELECT * FROM {name}{end}"]
