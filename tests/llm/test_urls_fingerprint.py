@@ -13,7 +13,7 @@ def plain_verdict(url):
         return max(fits)[2], max(fits)[1]
     import re
 
-    hit = {v for v, p in urls.PATTERNS if re.search(urls.pattern_rule(v, p).regex, (url or "").lower())}
+    hit = {r.verdict for r in urls.parse_rules(urls.LINES) if re.search(r.regex, (url or "").lower())}
     return None, "block" if hit == {"block"} else "allow"
 
 
@@ -44,6 +44,46 @@ def test_only_fetched_rules_run():
     assert [r.name for r, _ in index.by_token["en"]] == ["example.net/en/"]
 
 
+def test_rule_syntax():
+    def blocks(rule, url):
+        return urls.Index(urls.parse_rules([rule]), {}).judge(url)[3] == "block"
+
+    assert blocks("||ads.example.com^", "https://ads.example.com/x") and blocks("||ads.example.com^", "https://eu.ads.example.com")
+    assert not blocks("||ads.example.com^", "https://bads.example.com/") and not blocks("||ads.example.com^", "https://x.io/ads.example.com/")
+    assert blocks("|http://a.io/|", "HTTP://A.io/") and not blocks("|http://a.io/|", "http://a.io/b") and not blocks("|http://a.io", "x=http://a.io")
+    assert blocks("/Banner/*/Top^$match-case", "http://x.io/Banner/7/Top") and not blocks("/Banner/*/Top^$match-case", "http://x.io/banner/7/top")
+    assert blocks("^track*er^", "http://x.io/tracktheriver/") and not blocks("^track^", "http://x.io/tracker")
+    several = urls.Index(urls.parse_rules(["! comment", "", "^shop^", "@@^shop^help^", "^shop^scam^$important"]), {})
+    assert [several.judge(f"http://x.io/{p}")[3] for p in ("shop", "shop/help", "shop/scam/shop/help", "other")] == ["block", "allow", "block", "allow"]
+    import pytest
+
+    with pytest.raises(ValueError, match="unknown options"):
+        urls.parse_rules(["x$popup"])
+
+
+def test_many_rules_from_a_file(spark, tmp_path):
+    rng = random.Random(13)
+    words = [f"{a}{b}" for a in ("ban", "pix", "tra", "clk", "adv", "shop", "play", "win", "hot", "best") for b in ("ner", "el", "cker", "ic", "ert", "ing", "zone", "now", "deal", "box")]
+    lines = ["! generated"]
+    for k in range(600):
+        a, b = rng.sample(words, 2)
+        shape = rng.choice(["||{a}.example^", "^{a}^{b}^", "/{a}/*.gif^", "@@||{a}.example/{b}^", "^{a}-{b}^$important", "|https://{a}.{b}.io/", "={a}&{b}^$match-case", "^{a}^*{b}"])
+        lines.append(shape.format(a=a, b=b))
+    (tmp_path / "rules.txt").write_text("\n".join(lines))
+    rules = urls.read_rules(spark, str(tmp_path / "rules.txt"))
+    assert len(rules) == 600
+    rows = [(k, rng.choice(["http://", "https://"]) + "".join(rng.choice([*words, ".", "/", "-", ".example/", ".io/", "=", "&", ".gif"]) for _ in range(rng.randint(2, 9)))) for k in range(400)] + [(None, None)]
+    out = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), urls.default_rules() + rules).collect()
+    every = urls.Index([], {})
+    every.always = urls.Index(urls.default_rules() + rules, {}).always + [e for es in urls.Index(urls.default_rules() + rules, {}).by_token.values() for e in es]
+    plain = {u: every.judge(u) for _, u in rows}
+    by = dict(rows)
+    for r in out:
+        u = by[r.page_id]
+        assert (r.host, r.path, r.rule, r.verdict, r.pattern) == plain[u][:5], u
+    assert sum(r.rules_tried for r in out) < 0.1 * len(out) * 614 and sum(r.verdict == "block" for r in out) > 40
+
+
 def test_fingerprints_against_brute_force(spark):
     rng = random.Random(6)
     texts = ["", None, "a", "ab", "abc", "é" * 7, "same text", "same text", "x" * 50000] + ["".join(rng.choice("abcdé \n") for _ in range(rng.randint(0, 400))) for _ in range(150)]
