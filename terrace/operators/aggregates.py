@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 _FUNCTIONS = {"sum": F.sum, "avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "count_distinct": F.countDistinct}
 
 
-def money_sum(column: Column, precision: str = "decimal(18,2)") -> Column:
-    """An exact sum, the same however rows are dealt out."""
-    return F.sum(column.cast(precision)).cast("double")
+def money_sum(column: Column) -> Column:
+    """An exact sum of amounts with two decimals, the same however rows are dealt out.
+
+    Cents are summed as two whole numbers, the upper bits and the lower 20:
+    sums of 64-bit numbers take a fraction of the time that wide decimals do,
+    and neither part overflows before 2**43 rows.
+    """
+    cents = F.rint(column.cast("double") * 100).cast("long")
+    high, low = F.sum(F.shiftright(cents, 20)), F.sum(cents.bitwiseAND(F.lit((1 << 20) - 1).cast("long")))
+    return ((high.cast("decimal(20,0)") * F.lit(1 << 20).cast("decimal(7,0)") + low.cast("decimal(20,0)")) * F.lit("0.01").cast("decimal(2,2)")).cast("double")
 
 
 def group_agg(df: DataFrame, group_by: Sequence[str], aggregations: Mapping[str, str | Sequence[str]]) -> DataFrame:

@@ -132,20 +132,20 @@ def drop_anomalies(df: DataFrame, distance: str, amount: str) -> DataFrame:
 def deduplicate(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str], keep: str = "first") -> DataFrame:
     """One row of each key: the first or last in a stated order, so that reruns agree.
 
-    Columns named in rising order are compared inside an aggregate, which
-    thins rows out before the shuffle; other orders take a window.
+    One window, of which the filter on its row number keeps one row of each
+    key before the shuffle too. Names mean rising order, and the last row is
+    the first in falling order.
     """
     if keep not in ("first", "last"):
         raise ValueError(keep)
     if not order_by:
         raise ValueError("order_by is needed: without it the row that stays is left to chance")
-    if all(isinstance(o, str) for o in order_by):
-        return _extreme(df, keys, order_by, F.min_by if keep == "first" else F.max_by)
-    order = list(order_by)
-    if keep == "last":
-        n = Window.partitionBy(*keys)
-        return df.withColumn("_rn", F.row_number().over(n.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(n)).filter("_rn = _n").drop("_rn", "_n")
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+    order, by = list(order_by), Window.partitionBy(*keys)
+    if keep == "last" and all(isinstance(o, str) for o in order):
+        order = [F.col(o).desc_nulls_last() for o in order]
+    elif keep == "last":
+        return df.withColumn("_rn", F.row_number().over(by.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(by)).filter("_rn = _n").drop("_rn", "_n")
+    return df.withColumn("_rn", F.row_number().over(by.orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
 def _extreme(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], pick: Callable) -> DataFrame:
@@ -157,7 +157,7 @@ def _extreme(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], pick:
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], timestamp: str, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """The newest row of each key; rows without a time are the oldest."""
+    """The newest row of each key, aggregated before the shuffle; rows without a time are the oldest."""
     return _extreme(df, keys, [timestamp, *tiebreak], F.max_by)
 
 

@@ -398,3 +398,10 @@ def test_schema_equality(spark):
     transforms.validate_schema(df, T.StructType([T.StructField("k", T.IntegerType())]))
     with pytest.raises(ValueError):
         transforms.validate_schema(df, T.StructType([T.StructField("k", T.LongType())]))
+
+
+def test_money_sums_are_exact(spark):
+    df = spark.range(100_000).select((c("id") % 7).alias("k"), ((c("id") % 1000 - 300) / 100).alias("v"), F.when(c("id") % 7 > 0, F.lit(9e12) + (c("id") % 10) / 10).alias("big"))
+    got = {r.k: (r.a, r.b) for r in df.groupBy("k").agg(aggregates.money_sum(c("v")).alias("a"), aggregates.money_sum(c("big")).alias("b")).collect()}
+    want = {r.k: (r.a, r.b) for r in df.groupBy("k").agg(F.sum(c("v").cast("decimal(18,2)")).cast("double").alias("a"), F.sum(c("big").cast("decimal(18,2)")).cast("double").alias("b")).collect()}
+    assert got == want and got[0][1] is None
