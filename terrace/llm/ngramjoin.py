@@ -24,8 +24,9 @@ from terrace.llm import arrow, scratch, words
 #: Counters of words; their number does not depend on the input.
 COUNTERS = 1 << 20
 SLICE = 1 << 14
-#: Documents of a group that one task holds in a tree; larger groups are cut into blocks that meet pairwise.
-BLOCK = 1500
+#: Documents, and n-grams of theirs, of a group that one task holds in a tree; larger groups are cut into blocks that meet
+#: pairwise.
+BLOCK, ELEMENTS = 1500, 2_000_000
 #: N-grams of all sets whose first elements make up one bucket in memory.
 GROUP = 2_000_000
 _U = np.uint64
@@ -117,12 +118,13 @@ class PrefixTree:
         self.start = np.append(0, np.cumsum(self.sizes))
         flat = np.concatenate(sets) if sets else np.zeros(0, _U)
         distinct, ranks = np.unique(flat, return_inverse=True)
-        self.ranks, self.width = ranks.astype(np.int64), len(distinct) + 1
-        owner = np.repeat(np.arange(n), self.sizes)
+        self.ranks, self.width = ranks.astype(np.int32), len(distinct) + 1
+        del ranks, flat
+        owner = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
         # who has a key, by key; and all (set, key) pairs in order, to count a set's keys up to one
         self.holders = owner[np.argsort(self.ranks, kind="stable")]
         self.bounds = np.append(0, np.cumsum(np.bincount(self.ranks, minlength=len(distinct))))
-        self.pairs = owner * self.width + self.ranks
+        self.pairs = owner.astype(np.int64) * self.width + self.ranks
         common = np.zeros(n + 1, np.int64)
         for k in range(1, n):
             x, y = sets[k - 1], sets[k]
@@ -144,6 +146,7 @@ class PrefixTree:
 
     def _seen(self, edge: np.ndarray) -> np.ndarray:
         """How many of an edge's keys each set has."""
+        edge = edge.astype(np.int64)
         lo, n = self.bounds[edge], self.bounds[edge + 1] - self.bounds[edge]
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         return np.bincount(self.holders[at], minlength=len(self.sizes))
@@ -356,20 +359,21 @@ def near_groups(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc
     described = scratch.table(docs.mapInArrow(describe, "doc_id long, n long, digest binary, prefix binary"), "described")
     buckets = 1 + (described.agg(F.sum("n")).first()[0] or 0) // GROUP
     useful = described.where("doc_id IS NOT NULL AND n > 0")
-    sized = useful.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
-    own = sized.groupBy("rep").agg(F.collect_list(F.struct("digest", "rows")).alias("own"))
+    sized = useful.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("n"))
+    own = sized.groupBy("rep").agg(F.collect_list(F.struct("digest", "rows")).alias("own"), F.sum("n").alias("elements"))
     classes = useful.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("prefix").alias("prefix"))
     posted = classes.select("rep", "n", "prefix").mapInArrow(_post(buckets), "bucket int, n long, blob binary")
     met = posted.groupBy("bucket").applyInArrow(_meet(percent, buckets), "bucket int, n long, blob binary")
     meetings = scratch.table(met.groupBy("bucket").applyInArrow(_settle(percent), "leader long, rep long"), "meetings")
 
-    # A group over BLOCK documents is cut into k blocks by id hash, and each pair of blocks is a group.
-    several = own.where("size(own) > 1").select("rep", F.size("own").alias("sets"))  # ids with different texts
-    size = meetings.join(several, "rep", "left").groupBy("leader").agg(F.sum(F.coalesce("sets", F.lit(1))).alias("size")).where("size > 1").select("leader", F.ceil(F.col("size") / BLOCK).cast("int").alias("k"))
+    # A group over BLOCK documents or ELEMENTS n-grams is cut into k blocks by id hash, and each pair of blocks is a group.
+    weights = meetings.join(own.select("rep", F.size("own").alias("sets"), "elements"), "rep")  # ids may have different texts
+    size = weights.groupBy("leader").agg(F.sum("sets").alias("size"), F.sum("elements").alias("elements")).where("size > 1")
+    size = size.select("leader", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("elements") / ELEMENTS)).cast("int").alias("k"))
     mine = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
     seats = meetings.join(size, "leader").select("leader", "rep", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
     groups = seats.select("rep", F.struct("leader", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("i").alias("block")).alias("g"))
-    wanted = groups.groupBy("rep").agg(F.collect_list("g").alias("groups")).join(own, "rep")
+    wanted = groups.groupBy("rep").agg(F.collect_list("g").alias("groups")).join(own.drop("elements"), "rep")
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("leader", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("rep", pa.int64()), ("digest", pa.binary()), ("rows", pa.int64()), ("before", pa.binary()), ("keys", pa.binary())])
@@ -441,7 +445,7 @@ def near_groups(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc
     if not count:
         return out.select("doc_id", "n_shingles", "component_id")
     others = joined.where("digest IS NOT NULL").groupBy("digest").agg(F.sum("links").alias("links"))
-    links = sized.join(others, "digest", "left").select("digest", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("links")).where("links > 0")
+    links = sized.drop("n").join(others, "digest", "left").select("digest", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("links")).where("links > 0")
     n_links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0))).cast("long")
     return out.join(links, "digest", "left").select("doc_id", "n_shingles", "component_id", n_links.alias("n_links"))
 

@@ -53,18 +53,20 @@ def corpus():
     return [(k, t) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("block", [1500, 16])
-def test_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,elements", [(1500, 2_000_000), (16, 2_000_000), (1500, 900)])
+def test_against_brute_force(spark, monkeypatch, block, elements):
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    monkeypatch.setattr(ngramjoin, "ELEMENTS", elements)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, rep string, n int").repartition(3)
     out = ngramjoin.near_groups(df).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows)
 
 
-@pytest.mark.parametrize("block", [1500, 16])
-def test_counts_all_links(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,elements", [(1500, 2_000_000), (16, 2_000_000), (1500, 900)])
+def test_counts_all_links(spark, monkeypatch, block, elements):
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    monkeypatch.setattr(ngramjoin, "ELEMENTS", elements)
     rows = corpus()
     rows += rows[60:70] + [(rows[k][0], rows[k + 1][1]) for k in range(100, 140)] + [(None, rows[61][1])]  # ids with equal and with different texts
     sets = [shingles(t) for _, t in rows]
