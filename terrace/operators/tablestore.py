@@ -174,7 +174,7 @@ class TableStore:
         """The newest version, a stated one, or the newest at a time."""
         if as_of is not None:
             at = as_of.timestamp() if isinstance(as_of, dt.datetime) else as_of
-            before = [v for v in self._versions(name) if self.entry(name, v).at <= at]
+            before = [v for v in self._versions(name) if self.entry(name, v).at < at + 1e-6]  # times are told to the microsecond
             if not before:
                 raise KeyError(f"{name} has no version at {as_of}")
             version = before[-1]
