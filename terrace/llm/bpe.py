@@ -29,7 +29,7 @@ from terrace.llm import arrow, scratch
 #: The pattern of byte-level BPE vocabularies of this kind (fixed value).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker remembers of chunks, words and fragments each, in each of two generations.
-MEMORY = 150_000
+MEMORY = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -89,6 +89,11 @@ class ByteBPE:
         for k, merge in enumerate(spec["model"]["merges"]):
             a, b = (to_bytes(x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
             self.rank[vocab[a], vocab[b]] = (k, vocab[a + b])
+        self._shift = size.bit_length()
+        self._order = {a << self._shift | b: k for (a, b), (k, _) in self.rank.items()}
+        self._made = [0] * (1 + max((k for k, _ in self.rank.values()), default=-1))
+        for k, new in self.rank.values():
+            self._made[k] = new
         inside = {t[i : i + 2] for t in vocab for i in range(len(t) - 1)}
         self.inside = inside
         self._word = regex.compile(WORD)
@@ -103,7 +108,7 @@ class ByteBPE:
 
             ids = tiktoken.Encoding("merges", pat_str=WORD, mergeable_ranks=vocab, special_tokens={})
             self._encode_chunk = lambda chunk: array("I", ids.encode_ordinary(chunk)).tobytes()
-            self._spaced.size = 2 * MEMORY  # words and fragments need no room
+            self._spaced.size = 300_000  # words and fragments need no room
 
     def cuts(self, word: bytes) -> list[bytes]:
         """The fragments of ``word`` between its certain cuts."""
@@ -118,33 +123,28 @@ class ByteBPE:
         return out
 
     def merge(self, fragment: bytes) -> list[int]:
-        """Merges the lowest-ranked pair, everywhere from the left, until none is left.
+        """Merges the lowest-ranked pair, the leftmost of equals, until none is left.
 
-        Short fragments rescan their pairs; long ones keep a heap and linked
+        What a merge makes ranks after it, so only the ranks beside it change.
+        Short fragments keep a list of ranks; long ones a heap and linked
         neighbours, so a long run without cuts costs n log n.
         """
         ids = [self.byte_ids[b] for b in fragment]
-        rank = self.rank
         if len(ids) > 64:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, new, pair = 1 << 60, -1, None
-            for p in zip(ids, ids[1:]):
-                r = rank.get(p)
-                if r is not None and r[0] < best:
-                    best, new, pair = r[0], r[1], p
-            if pair is None:
+        get, shift, none = self._order.get, self._shift, len(self._made)
+        ranks = [get(a << shift | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            a, b = pair
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if ids[i] == a and i + 1 < n and ids[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(best)
+            ids[i] = new = self._made[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(new << shift | ids[i + 1], none)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << shift | new, none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
